@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3
 from .quality_rules import op4
 from .simhash_dedup import op10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3,
     "op4_quality_rules": op4,
     "op10_simhash_dedup": op10,
 }
