@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op3
 from .quality_rules import op4
 from .simhash_dedup import op10
+from .toxicity import op1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1,
     "op3_bpe": op3,
     "op4_quality_rules": op4,
     "op10_simhash_dedup": op10,
