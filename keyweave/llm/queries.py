@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3
 from .language_id import op9
+from .ppm import op7
 from .quality_rules import op4
 from .simhash_dedup import op10
 from .token_counts import op2
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2,
     "op3_bpe": op3,
     "op4_quality_rules": op4,
+    "op7_ppm": op7,
     "op9_language_id": op9,
     "op10_simhash_dedup": op10,
 }
