@@ -13,12 +13,14 @@ from .quality_rules import op4
 from .simhash_dedup import op10
 from .token_counts import op2
 from .toxicity import op1
+from .warc import op6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
     "op2_token_counts": op2,
     "op3_bpe": op3,
     "op4_quality_rules": op4,
+    "op6_warc": op6,
     "op7_ppm": op7,
     "op9_language_id": op9,
     "op10_simhash_dedup": op10,
