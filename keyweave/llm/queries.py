@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3
 from .language_id import op9
+from .line_dedup import OP8_SQL, op8
 from .ppm import op7
 from .quality_rules import op4
 from .simhash_dedup import op10
@@ -22,8 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4,
     "op6_warc": op6,
     "op7_ppm": op7,
+    "op8_line_dedup": op8,
     "op9_language_id": op9,
     "op10_simhash_dedup": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": OP8_SQL,
+}
