@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches, table
 
-#: The vocabulary file's own values: its pre-token pattern, its end-of-word mark and what it takes for white space beyond ASCII.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The vocabulary file's own values: its pre-token pattern, with white space as Unicode has it, and its end-of-word mark.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: The same for ASCII texts in lower case.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 WORD_END = "</w>"
-FAR_SPACES = dict.fromkeys([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], " ")
 
 #: Symbols of a pre-token from which its halves are encoded on their own, and of the leaves that the halving ends at.
 LONG = 4096
 LEAF = 1024
-#: Words whose encoding a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 200_000
+#: Pre-tokens whose encoding a worker remembers; the memory starts anew when it is full.
+REMEMBERED = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -71,14 +75,18 @@ class Vocabulary:
 
 def merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Join the pair of least rank, the leftmost first, until no pair has one."""
-    if len(symbols) < 32:
-        out = list(symbols)
-        while len(out) > 1:
-            best = min((merges[p][0], i) for i, p in enumerate(zip(out, out[1:])) if p in merges) if any(p in merges for p in zip(out, out[1:])) else None
-            if best is None:
-                break
-            i = best[1]
-            out[i : i + 2] = [merges[out[i], out[i + 1]][1]]
+    if len(symbols) < 64:
+        # (rank, id) compares by rank, which is unique to a pair.
+        out, none = list(symbols), (1 << 60, 0)
+        ranks = [merges.get(p, none) for p in zip(out, out[1:])]
+        while ranks and (best := min(ranks)) is not none:
+            i = ranks.index(best)
+            out[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((out[i - 1], best[1]), none)
+            if i < len(ranks):
+                ranks[i] = merges.get((best[1], out[i + 1]), none)
         return out
     ids, after, before = list(symbols), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
@@ -125,15 +133,15 @@ def join_all(pieces: list[list[int]], merges: dict, parts: dict[int, list[int]])
 
 
 class Encoder:
-    """Encodes texts word by word and remembers words."""
+    """Encodes texts pre-token by pre-token and remembers what each became."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
         self.merges, self.inner, self.last = v.merges, *v.symbols
-        self.find = regex.compile(PATTERN).findall
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")").split if v.special else lambda x: [x]
-        self.known: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
+        self.shown = {i: t.encode() for i, t in v.tokens.items()}
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.split_special = re.compile("(" + "|".join(map(re.escape, v.special)) + ")").split if v.special else None
+        self.known: dict[str, bytes] = {}
 
     @cached_property
     def parts(self) -> dict[int, list[int]]:
@@ -151,48 +159,52 @@ class Encoder:
             out[token] = symbols
         return out
 
-    def words(self, text: bytes) -> list[bytes]:
-        """White space parts the words of a text for good: no token reaches over it."""
-        if not text.isascii():
-            text = text.decode("utf-8", "replace").translate(FAR_SPACES).encode()
-        return text.split()
-
-    def units(self, word: bytes) -> Iterator[int | list[int]]:
-        """The pre-tokens of a word as symbols, and the special tokens in it as their ids."""
-        for piece in self.split_special(word.decode("utf-8", "replace")):
-            if piece in self.vocabulary.special:
-                yield self.vocabulary.special[piece]
-                continue
-            # A capital sigma is lowered as within a word wherever it stands.
-            plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for token in self.find(plain):
-                raw = token.encode()
-                yield [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]
+    def pretokens(self, text: bytes) -> list[str]:
+        """The pre-tokens of a text in normal form; the special tokens in it stand as they are."""
+        plain = text.decode("utf-8", "replace")
+        if self.split_special and any(t in plain for t in self.vocabulary.special):
+            pieces = self.split_special(plain)
+            return [t for i, piece in enumerate(pieces) for t in ([piece] if i % 2 else self._found(piece))]
+        return self._found(plain)
+
+    def _found(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        # A capital sigma is lowered as within a word wherever it stands.
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def symbols(self, pretoken: str) -> list[int]:
+        raw = pretoken.encode()
+        out = list(map(self.inner.__getitem__, raw))
+        out[-1] = self.last[raw[-1]]
+        return out
 
     def encode_unit(self, symbols: list[int]) -> list[int]:
         if len(symbols) < LONG:
             return merge(symbols, self.merges)
         return join_all([merge(symbols[i : i + LEAF], self.merges) for i in range(0, len(symbols), LEAF)], self.merges, self.parts)
 
-    def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and decoded: without a decoder in the file, the tokens joined by blanks."""
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.vocabulary.tokens.__getitem__, ids)).encode()
-
-    def word(self, word: bytes) -> tuple[bytes, bytes]:
-        ids: list[int] = []
-        for unit in self.units(word):
-            ids += [unit] if isinstance(unit, int) else self.encode_unit(unit)
-        return self.packed(ids)
+    def token(self, token: str) -> bytes:
+        """The ids of a pre-token or special token, little-endian unsigned 32-bit integers."""
+        special = self.vocabulary.special.get(token)
+        return pack([special] if special is not None else self.encode_unit(self.symbols(token)))
 
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """(ids, decoded text) of a text, as packed() has them."""
-        words = self.words(text)
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text, as token() has them."""
+        tokens = self.pretokens(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.shown.clear()
-        for w in {*words}.difference(self.known):
-            self.known[w], self.shown[w] = self.word(w)
-        return b"".join(map(self.known.__getitem__, words)), b" ".join(map(self.shown.__getitem__, words))
+        for t in {*tokens}.difference(self.known):
+            self.known[t] = self.token(t)
+        return b"".join(map(self.known.__getitem__, tokens))
+
+    def decode(self, ids: bytes) -> bytes:
+        """Without a decoder in the vocabulary file, a text decodes to its tokens joined by blanks."""
+        return b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def read_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -233,19 +245,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     unsplit = F.coalesce((F.octet_length("text") >= LONG) & F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{LONG // 4},}}+"), F.lit(False))
     out = "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else CODES)
 
-    def row(pairs: list[tuple[int, tuple[bytes, bytes]]]) -> pa.RecordBatch:
-        ids, found = [i for i, _ in pairs], [f for _, f in pairs]
-        if digest:
-            columns = [pa.array([hashlib.sha256(f[k]).hexdigest() for f in found], pa.string()) for k in (0, 1)]
-        else:
-            columns = [pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]
+    def row(e: Encoder, ids: list[int], codes: list[bytes]) -> pa.RecordBatch:
+        found = [codes, [e.decode(x) for x in codes]]
+        columns = [pa.array([hashlib.sha256(x).hexdigest() for x in f], pa.string()) if digest else pa.array(f, pa.binary()) for f in found]
         names = [x.split()[0] for x in out.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(f[0]) // 4 for f in found], pa.int64()), *columns], names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in codes], pa.int64()), *columns], names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _encoder(known.value)
-            yield row([(i, e.encode(t)) for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)])
+            yield row(e, batch.column(0).to_pylist(), [e.encode(t) for t in as_bytes(batch.column(1))])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, id, unit, leaf, symbols, done) of each text: done has ids already; the leaves of a unit share its number."""
@@ -253,16 +262,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             e = _encoder(known.value)
             for key, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 rows, ready, unit = [], [], 0
-                for word in e.words(text):
-                    for symbols in e.units(word):
-                        if isinstance(symbols, int):
-                            ready.append(symbols)
-                        elif len(symbols) < LONG:
-                            ready += merge(symbols, e.merges)
-                        else:
-                            rows.append((unit, 0, ready, True))
-                            rows += [(unit + 1, k, symbols[k * LEAF : (k + 1) * LEAF], False) for k in range(-(-len(symbols) // LEAF))]
-                            ready, unit = [], unit + 2
+                for token in e.pretokens(text):
+                    symbols = [] if token in e.vocabulary.special or 4 * len(token) < LONG else e.symbols(token)
+                    if len(symbols) < LONG:
+                        ready += np.frombuffer(e.token(token), "<u4").tolist()
+                    else:
+                        rows.append((unit, 0, ready, True))
+                        rows += [(unit + 1, k, symbols[k * LEAF : (k + 1) * LEAF], False) for k in range(-(-len(symbols) // LEAF))]
+                        ready, unit = [], unit + 2
                 rows.append((unit, 0, ready, True))
                 for at in range(0, len(rows), 1024):
                     part = rows[at : at + 1024]
@@ -284,7 +291,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for unit, ids in zip(found["unit"].to_pylist(), found["ids"].to_pylist(), strict=True):
             units.setdefault(unit, []).append(ids)
         ids = [t for pieces in units.values() for t in join_all(pieces, e.merges, e.parts)]
-        return pa.Table.from_batches([row([(found["id"][0].as_py(), e.packed(ids))])])
+        return pa.Table.from_batches([row(e, [found["id"][0].as_py()], [pack(ids)])])
 
     short = picked.where(~unsplit).mapInArrow(whole, out)
     apart = picked.where(unsplit).select(F.monotonically_increasing_id().alias("key"), "id", "text")
@@ -293,10 +300,5 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return short.unionByName(coded.groupBy("key").applyInArrow(joined, out))
 
 
-def decode(ids: bytes, vocabulary: Vocabulary) -> str:
-    """The tokens of packed ids, joined by blanks."""
-    return " ".join(vocabulary.tokens[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("id", "doc_id")
