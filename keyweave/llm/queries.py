@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3
+from .decontaminate import op5
 from .language_id import op9
 from .line_dedup import OP8_SQL, op8
 from .ppm import op7
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2,
     "op3_bpe": op3,
     "op4_quality_rules": op4,
+    "op5_decontaminate": op5,
     "op6_warc": op6,
     "op7_ppm": op7,
     "op8_line_dedup": op8,
