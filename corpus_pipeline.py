@@ -39,7 +39,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): the documents as token ids."""
     codes = bpe.encode(docs).withColumnRenamed("id", "doc_id")
-    return codes.select("doc_id", "n_tokens", "ids", F.decode("decoded", F.lit("UTF-8")).alias("decoded"))
+    return codes.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("decoded"))
 
 
 STAGES: list[tuple[str, Stage]] = [
