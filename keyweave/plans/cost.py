@@ -1,0 +1,94 @@
+"""What a partition-wise join costs, in rows read, relative to a sequential read."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from math import ceil, exp, log
+
+#: Room that a hash table takes beyond its rows.
+FUDGE = 1.02
+
+
+@dataclass(frozen=True)
+class Device:
+    """mu: a random write, tau: a sequential write, both against a sequential read. alpha: how full a chunk is meant to get."""
+
+    mu: float = 5.0
+    tau: float = 3.5
+    alpha: float = 0.95
+
+    def __post_init__(self) -> None:
+        if not 0 < self.alpha <= 1:
+            raise ValueError("alpha must lie above 0 and not above 1")
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Memory for a join's build side: so many pages of so many bytes, and the rows' widths."""
+
+    pages: int = 8192
+    page_bytes: int = 4096
+    r_bytes: int = 1024
+    s_bytes: int = 1024
+
+    def __post_init__(self) -> None:
+        if self.pages < 3:
+            raise ValueError("a join needs three pages: one for each input and one for the output")
+
+    @property
+    def chunk(self) -> int:
+        """Rows of R that are held at once."""
+        return max(1, self.r_per_page * int((self.pages - 2) / FUDGE))
+
+    @property
+    def r_per_page(self) -> int:
+        return max(1, self.page_bytes // self.r_bytes)
+
+    @property
+    def s_per_page(self) -> int:
+        return max(1, self.page_bytes // self.s_bytes)
+
+
+def overflow(mean: float, limit: float) -> float:
+    """A bound on the chance that a hashed partition with this mean size exceeds the limit (Chernoff)."""
+    if mean <= 0:
+        return 0.0
+    d = limit / mean - 1
+    return 1.0 if d <= 0 else exp(mean * (d - (1 + d) * log(1 + d)))
+
+
+def probe_rows(r: float, s: float, b: Budget, d: Device = Device()) -> float:
+    """Joining one pair of partitions: passes over S for each chunk of R, or sorting both when that is cheaper."""
+    if r <= 0 or s <= 0:
+        return 0.0
+    passes = ceil(r / b.chunk)
+    nested = s * passes + r
+    return nested if passes <= 2 + d.tau else min(nested, (2 + d.tau) * (r + s))
+
+
+def hashed_rows(r: float, s: float, partitions: int, b: Budget, d: Device = Device()) -> float:
+    """Joining all pairs of hashed partitions. One that is nearly full may need a pass more, as often as overflow() says."""
+    if partitions < 1 or r <= 0:
+        return 0.0
+    size = r / partitions
+    full = ceil(size / b.chunk) * b.chunk
+    more = overflow(size, full)
+    return (1 - more) * partitions * probe_rows(size, s / partitions, b, d) + more * partitions * probe_rows(full + 1, s / partitions, b, d)
+
+
+def spilled_rows(r: float, s: float, d: Device = Device()) -> float:
+    """Writing both relations out by partition."""
+    return d.mu * (r + s)
+
+
+def normalized_io(reads: float, writes: float, sequential_writes: float, d: Device = Device()) -> float:
+    return reads + (writes - sequential_writes) * d.mu + sequential_writes * d.tau
+
+
+def choose_strategy(r: float, s: float, b: Budget, d: Device = Device()) -> str:
+    """How to join one pair: nbj while the passes over S cost no more than sorting or hashing both sides, else the cheaper of smj and ghj."""
+    nested = ceil(r / b.chunk) * s + r
+    sort, hash_ = (2 + d.tau) * (r + s), (1 + d.mu) * (r + s)
+    if nested <= min(sort, hash_):
+        return "nbj"
+    return "smj" if sort <= hash_ else "ghj"
