@@ -24,6 +24,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}
 #: The same for ASCII texts in lower case.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 WORD_END = "</w>"
+#: Letters and numbers that the regex module knows and the vocabulary's library, with older Unicode tables, takes for neither. Fixed values.
+NEWER = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 "
+    "A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F "
+    "12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 "
+    "1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: A text with no character from here on has none of them.
+FIRST_NEWER = "\u0558"
 
 #: Symbols of a pre-token from which its halves are encoded on their own, and of the leaves that the halving ends at.
 LONG = 4096
@@ -39,6 +49,12 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+def older_pattern() -> str:
+    """PATTERN with the NEWER characters among the others."""
+    newer = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in NEWER.split())
+    return f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}--[{newer}]]+|[\\p{{N}}--[{newer}]]|(?:[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]|[{newer}])+"
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a vocabulary file."""
 
@@ -140,6 +156,7 @@ class Encoder:
         self.merges, self.inner, self.last = v.merges, *v.symbols
         self.shown = {i: t.encode() for i, t in v.tokens.items()}
         self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.find_older = regex.compile(older_pattern()).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, v.special)) + ")").split if v.special else None
         self.known: dict[str, bytes] = {}
 
@@ -171,7 +188,8 @@ class Encoder:
         if text.isascii():
             return self.find_ascii(text.lower())
         # A capital sigma is lowered as within a word wherever it stands.
-        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return self.find(plain) if max(plain) < FIRST_NEWER else self.find_older(plain)
 
     def symbols(self, pretoken: str) -> list[int]:
         raw = pretoken.encode()
