@@ -218,6 +218,7 @@ def headers(source: Source | Member) -> dict[str, str] | None:
         if len(got) < size:
             if got.strip(b"\r\n"):
                 raise ValueError("the archive ends within a header")
+            source.take(len(got))  # the blank lines after the last record
             return None
         size *= 2
 

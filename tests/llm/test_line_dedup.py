@@ -29,8 +29,6 @@ def plain(documents, least):
 def check(spark, documents, least):
     df = spark.createDataFrame(documents, "doc_id long, text string")
     want = plain(documents, least)
-    for r in remove_repeats(df, min_words=least).collect():
-        pass
     found = remove_repeats(df, min_words=least).collect()
     assert len(found) == len(documents)
     sources = {}
@@ -45,7 +43,7 @@ def check(spark, documents, least):
         assert (r.text, list(r["__removed"])) in options
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_against_brute_force(spark, seed):
     rng = random.Random(seed)
     letters = [f"{c} " * rng.randint(0, 4) + c for c in "abcd"] + ["", " "]

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 
 import pytest
 from keyweave.llm.warc import page_records, read_warc, write_warc
@@ -41,7 +42,7 @@ def test_predicates_reach_the_source(spark, archive):
     some = df.where("record_type = 'revisit'")
     assert some.count() == 3 and sorted(r.record_id for r in some.collect()) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:>"]
     plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan
+    assert not [x for x in plan.splitlines() if re.match(r"[ :+*()\d-]*Filter ", x)], plan
     assert df.where("target_uri like 'http://%' and record_type in ('response', 'other')").count() == 1
     assert df.where("payload_length > 1000 and target_uri = 'v'").count() == 1
     assert read_warc(spark, archive, payload=False).where("payload is not null").count() == 0
