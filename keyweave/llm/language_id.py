@@ -47,8 +47,10 @@ def _grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     plain = np.where(letter, text, ord(" ")).astype(np.uint32)
     before = np.concatenate(([False], letter[:-1]))
     at = np.flatnonzero(letter | before)  # a word's bytes, and the blank after it
-    code = plain[at - 2] << 16 | plain[at - 1] << 8 | plain[at]
-    first = np.flatnonzero((letter & ~before)[at])
+    starts = (letter & ~before)[at]
+    # Nothing of the word before is looked at.
+    code = np.where(starts, np.uint32(ord(" ")), plain[at - 2]) << 16 | plain[at - 1] << 8 | plain[at]
+    first = np.flatnonzero(starts)
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BITS), first
 
 
