@@ -32,7 +32,7 @@ class Training:
     unlabelled: int = 12_000
     min_texts: int = 3
     min_share: float = 0.01
-    min_z: float = 4.0
+    min_z: float = 6.0
     words: int = 1 << 14
     rounds: int = 400
     rate: float = 0.05
@@ -42,16 +42,22 @@ class Training:
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted 32-bit word codes
+    words: np.ndarray  # sorted 32-bit codes of words and beginnings
     weights: np.ndarray
     bias: float
     prior: float
 
 
+#: Bytes of a word's beginnings that are features beside the word itself: inflected and compound forms share them.
+BEGINNINGS = (5, 6, 7, 8)
+
+
 def features(text: bytes) -> np.ndarray:
-    """The distinct words of a text, as the CRC-32 of their lower-case bytes, in order."""
+    """The distinct words of a text and their beginnings, as the CRC-32 of their lower-case bytes, in order."""
     words = {*text.translate(PLAIN).split()}
-    return np.unique(np.fromiter(map(crc32, words), np.uint32, len(words)))
+    parts = {w[:k] for k in BEGINNINGS for w in words if len(w) > k}
+    codes = np.fromiter(map(crc32, words), np.uint32, len(words))
+    return np.unique(np.concatenate([codes, ~np.fromiter(map(crc32, parts), np.uint32, len(parts))]))
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
