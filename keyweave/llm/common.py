@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,9 +77,3 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
-
-
-def partition_lines(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch, as_bytes(batch.column(column))
