@@ -8,7 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stash, as_bytes, fold, small_batches, table
@@ -17,8 +17,10 @@ from .common import Stash, as_bytes, fold, small_batches, table
 ORDER = 5
 #: Stands before a text's first byte and after its last; it occurs in no UTF-8 text.
 END = 0xFF
-#: Entries of the trie that every task holds; beyond it the least count of an entry doubles until the trie fits.
+#: The longest entries of the trie whose probabilities every task holds; the other bytes of a text are joined.
 ENTRIES = 1 << 21
+#: Bytes of a context and the byte after it, of which every task holds all counts; their number is bounded by the bytes, not by the corpus.
+LOW = 3
 #: Words whose counts every task holds; the other words are joined.
 FREQUENT = 1 << 17
 #: Bytes that are turned into contexts at a time, and distinct entries that a task holds before it hands them on.
@@ -117,6 +119,46 @@ def _rows(keys: list | np.ndarray, words: list, n: list | np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["key", "word", "n"])
 
 
+class Slots:
+    """A hash table of keys with their log10 probability; nan for a key that it doesn't have."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs.astype(np.float32)
+
+    @cached_property
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, int]:
+        keys = self.keys
+        bits = max(4, int(2 * len(keys)).bit_length())
+        slot_keys, slot_logs = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, np.float32)
+        todo, at = np.arange(len(keys)), self._home(keys, bits)
+        while len(todo):
+            free = slot_keys[at] == ~np.uint64(0)
+            slot_keys[at[free]] = keys[todo[free]]  # of those for one slot the last stays
+            won = slot_keys[at] == keys[todo]
+            slot_logs[at[won]] = self.logs[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & ((1 << bits) - 1)
+        return slot_keys, slot_logs, bits
+
+    @staticmethod
+    def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot_keys, slot_logs, bits = self._slots
+        at = self._home(keys, bits)
+        out = slot_logs[at].astype(np.float64)
+        todo = np.flatnonzero(slot_keys[at] != keys)
+        at = at[todo]
+        while len(todo):
+            here = slot_keys[at]
+            hit, empty = here == keys[todo], here == ~np.uint64(0)
+            out[todo[hit]] = slot_logs[at[hit]]
+            out[todo[empty]] = np.nan
+            go = ~(hit | empty)
+            todo, at = todo[go], (at[go] + 1) & ((1 << bits) - 1)
+        return out
+
+
 class Trie:
     """Counts by order: sorted keys of a context followed by a byte, and how often each was seen.
 
@@ -152,43 +194,17 @@ class Trie:
         return out
 
     @cached_property
-    def _slots(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """The longest entries in a hash table, each with its log10 probability: most bytes need one look there."""
+    def _longest(self) -> Slots:
+        """The longest entries: most bytes need one look there."""
         keys, n = self.orders[-1]
         top = self.contexts[-1]
-        logs = (np.log10(np.maximum(n, 1)) - top["z"][np.searchsorted(top["ctx"], keys >> np.uint64(8))]).astype(np.float32)
-        bits = max(4, int(2 * len(keys)).bit_length())
-        slot_keys, slot_logs = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, np.float32)
-        todo, at = np.arange(len(keys)), self._home(keys, bits)
-        while len(todo):
-            free = slot_keys[at] == ~np.uint64(0)
-            slot_keys[at[free]] = keys[todo[free]]  # of those for one slot the last stays
-            won = slot_keys[at] == keys[todo]
-            slot_logs[at[won]] = logs[todo[won]]
-            todo, at = todo[~won], (at[~won] + 1) & ((1 << bits) - 1)
-        return slot_keys, slot_logs, bits
-
-    @staticmethod
-    def _home(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        return Slots(keys, np.log10(np.maximum(n, 1)) - top["z"][np.searchsorted(top["ctx"], keys >> np.uint64(8))])
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each key after its other bytes."""
-        slot_keys, slot_logs, bits = self._slots
-        at = self._home(keys, bits)
-        out = slot_logs[at].astype(np.float64)
-        todo = np.flatnonzero(slot_keys[at] != keys)
-        missed = []
-        at = at[todo]
-        while len(todo):
-            here = slot_keys[at]
-            hit, empty = here == keys[todo], here == ~np.uint64(0)
-            out[todo[hit]] = slot_logs[at[hit]]
-            missed.append(todo[empty])
-            go = ~(hit | empty)
-            todo, at = todo[go], (at[go] + 1) & ((1 << bits) - 1)
-        if missed:
-            rest = np.concatenate(missed)
+        out = self._longest(keys)
+        rest = np.flatnonzero(np.isnan(out))
+        if len(rest):
             out[rest] = self._escaped(keys[rest])
         return out
 
@@ -244,7 +260,7 @@ def _least(df: DataFrame, want: int) -> int:
 
 
 def train_trie(counts: DataFrame, entries: int = ENTRIES) -> Trie:
-    """The trie of the counts (key, n) of grams(). At most `entries` rows reach the driver."""
+    """The trie of the counts (key, n) of grams() in one place, without its rarest entries if there are more than `entries`."""
     by_order = None
     for k in range(ORDER, -1, -1):
         rows = counts.select(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key"), "n")
@@ -263,6 +279,86 @@ def train_trie(counts: DataFrame, entries: int = ENTRIES) -> Trie:
     return Trie(out)
 
 
+def frequent_entries(counts: DataFrame) -> Slots:
+    """The most frequent of the counts (key, n) of grams(), ENTRIES at most, with the probability that the whole trie gives them."""
+    least = _least(counts, ENTRIES)
+    ctx = Window.partitionBy(F.shiftright("key", 8))
+    z = F.log10(F.sum("n").over(ctx) + F.count("*").over(ctx))
+    found = counts.withColumn("z", z).where(F.col("n") >= least).select("key", (F.log10("n") - F.col("z")).alias("log")).toArrow()
+    return Slots(found["key"].to_numpy().astype(np.uint64), found["log"].to_numpy())
+
+
+def _shorter(keys: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _tally([(keys & np.uint64((1 << 8 * size) - 1), n)])
+
+
+def resolved(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, log) for each distinct key of wanted, by the whole trie of the counts (key, n) of grams().
+
+    All contexts of LOW bytes or more from which a byte is sought end alike, so rows
+    meet by those bytes; the shorter contexts are few and reach every task.
+    """
+    end = (1 << 8 * LOW) - 1
+    low = counts.groupBy(F.col("key").bitwiseAND(F.lit(end)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    low_keys, low_n = low["key"].to_numpy().astype(np.uint64), low["n"].to_numpy()
+    short = counts.sparkSession.sparkContext.broadcast([_shorter(low_keys, low_n, k + 1) for k in range(LOW)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _whole_ends(batches):
+            seek, had = keys[n == 0], n > 0
+            keys, n = keys[had], n[had]
+            needed = np.isin(keys >> np.uint64(8) & np.uint64(end), np.unique(seek >> np.uint64(8) & np.uint64(end)))
+            longer = [_shorter(keys[needed], n[needed], k + 1) for k in range(LOW, ORDER + 1)]
+            logs = Trie([*short.value, *longer])._escaped(seek)
+            yield pa.RecordBatch.from_arrays([pa.array(seek.astype(np.int64)), pa.array(logs, pa.float64())], ["key", "log"])
+
+    # A count of 0 marks what is sought.
+    rows = counts.select("key", "n").union(wanted.select("key").distinct().select("key", F.lit(0).cast("long").alias("n")))
+    rows = rows.withColumn("end", F.shiftright("key", 8).bitwiseAND(F.lit(end)))
+    return rows.repartition("end").sortWithinPartitions("end").mapInArrow(run, "key long, log double")
+
+
+def _whole_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of batches (key, n, end) sorted by end, some FLUSH rows at a time, cut only where another end begins."""
+    parts: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        parts.append([batch.column(i).to_numpy() for i in range(3)])
+        size += len(batch)
+        if size > FLUSH:
+            key, n, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = int(np.searchsorted(end, end[-1]))
+            if at:
+                yield key[:at].astype(np.uint64), n[:at]
+            parts, size = [[key[at:], n[at:], end[at:]]], 0
+    if parts:
+        key, n, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield key.astype(np.uint64), n
+
+
+def held_scores(held: Slots, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """For each lower-case text: the sum over the bytes that are held, and the others' distinct keys with their number."""
+    scores, of, missed, m = [], [], [], []
+    before = 0
+    for page in pages(texts):
+        keys, starts = grams(page)
+        logs = np.concatenate([held(keys[at : at + PAGE]) for at in range(0, len(keys), PAGE)])
+        at = np.flatnonzero(np.isnan(logs))
+        logs[at] = 0
+        scores.append(np.add.reduceat(logs, starts))
+        text, rest = np.searchsorted(starts, at, "right") - 1, keys[at]
+        order = np.lexsort((rest, text))
+        text, rest = text[order], rest[order]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (rest[1:] != rest[:-1])))) if len(at) else at
+        of.append(text[first] + before)
+        missed.append(rest[first].astype(np.int64))
+        m.append(np.diff(np.append(first, len(at))))
+        before += len(page)
+    offsets = np.searchsorted(np.concatenate(of), np.arange(before + 1))
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(missed)), pa.array(np.concatenate(m), pa.int64())], ["key", "m"])
+    return np.concatenate(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+
 FIGURES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -284,30 +380,41 @@ def language_model_scores(docs: DataFrame, learn_from: DataFrame, id_col: str =
     frequent = words.where(F.col("n") >= _least(words, FREQUENT)).toArrow()
     often = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
     often.setdefault(bytes([END]), 0 if not n else words.where(F.col("word") == F.lit(bytearray([END]))).first()["n"])
-    known = spark.sparkContext.broadcast((train_trie(counts.where("key is not null").select("key", "n")), often))
+    entries = counts.where("key is not null").select("key", "n")
+    known = spark.sparkContext.broadcast((frequent_entries(entries), often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, often = known.value
+        held, often = known.value
         end = often[bytes([END])]
         for batch in batches:
             rows = []
             texts = [t.lower() for t in as_bytes(batch.column(2))]
-            for text, score in zip(texts, trie.scores(texts), strict=True):
+            if not texts:
+                continue
+            scores, missed = held_scores(held, texts)
+            for text, score in zip(texts, scores.tolist(), strict=True):
                 here = Counter(text.split())
                 rare = [w for w in here if w not in often]
                 common = [(m, c) for w, m in here.items() if (c := often.get(w)) is not None]
                 m, c = np.array([x for x, _ in common], float), np.array([x for _, x in common], float)
                 rows.append((sum(here.values()) + 1, int(m.sum()) + (end > 0), float((m * np.log10(c + 1)).sum() + np.log10(end + 1)), score, [{"word": w, "m": here[w]} for w in rare]))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True))], ["uid", "id", "n_tokens", "n_often", "sum_often", "score", "rare"])
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)), missed], ["uid", "id", "n_tokens", "n_often", "sum_often", "held", "rare", "missed"]
+            )
 
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = stash.keep(picked.mapInArrow(run, "uid long, id long, n_tokens long, n_often long, sum_often double, score double, rare array<struct<word: binary, m: long>>"), "scored")
-    # No word among these is frequent, so no key of the join is hot.
+    kinds = "uid long, id long, n_tokens long, n_often long, sum_often double, held double, rare array<struct<word: binary, m: long>>, missed array<struct<key: long, m: long>>"
+    scored = stash.keep(picked.mapInArrow(run, kinds), "scored")
+    # No word or entry among these is frequent in what was learned, so no key of the joins is hot.
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.m").join(words, "word")
-    rare = rare.groupBy("uid").agg(F.sum("m").alias("n_rare"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("sum_rare"))
-    both = scored.drop("rare").join(rare, "uid", "left")
+    rare = rare.select("uid", "m", (F.col("m") * F.log10(F.col("n") + 1)).alias("sum"), F.lit(0.0).alias("score"))
+    missed = scored.select("uid", F.explode("missed").alias("r")).select("uid", "r.key", "r.m")
+    logs = stash.keep(resolved(entries, missed), "logs")
+    missed = missed.join(logs, "key").select("uid", F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("sum"), (F.col("m") * F.col("log")).alias("score"))
+    joined = rare.union(missed).groupBy("uid").agg(F.sum("m").alias("n_rare"), F.sum("sum").alias("sum_rare"), F.sum("score").alias("rest"))
+    both = scored.drop("rare", "missed").join(joined, "uid", "left")
     spread = float(np.log10(n + v + 1))
     return both.select(
         "id",
@@ -315,7 +422,7 @@ def language_model_scores(docs: DataFrame, learn_from: DataFrame, id_col: str =
         (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("sum_often") + F.coalesce("sum_rare", F.lit(0.0)) - F.col("n_tokens") * spread).alias("base_score"),
-        "score",
+        (F.col("held") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 

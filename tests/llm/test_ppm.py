@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from keyweave.llm import ppm
 
@@ -59,6 +60,23 @@ def test_words_beyond_the_frequent(frame, monkeypatch):
         assert r.base_score == pytest.approx(whole[r.id, r.n_tokens])
 
 
+def test_entries_beyond_the_frequent(frame, documents, monkeypatch):
+    node = trained([t for i, t in documents if i is None or i % 4])
+    monkeypatch.setattr(ppm, "ENTRIES", 50)
+    monkeypatch.setattr(ppm.train_trie, "__defaults__", (50,))
+    found = ppm.language_model_scores(frame, frame.where("doc_id is null or doc_id % 4 <> 0")).collect()
+    assert sorted(r.score for r in found) == pytest.approx(sorted(plain(node, t) for _, t in documents), rel=1e-4, abs=1e-3)
+
+
+def test_ends_stay_whole(monkeypatch):
+    monkeypatch.setattr(ppm, "FLUSH", 5)
+    ends = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5, 5, 6]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(15), pa.int64()), pa.array(ends, pa.int64()), pa.array(ends, pa.int64())], ["key", "n", "end"])
+    found = list(ppm._whole_ends(rows.slice(i, 2) for i in range(0, 15, 2)))
+    assert np.concatenate([k for k, _ in found]).tolist() == list(range(15))
+    assert len(found) > 1 and sum(len(set(n)) for _, n in found) == 6
+
+
 def test_a_smaller_trie_is_still_a_distribution(frame, monkeypatch):
     small = ppm.train_trie(ppm.corpus_counts(frame).where("key is not null").select("key", "n"), 2000)
     assert sum(len(k) for k, _ in small.orders) <= 2000
