@@ -21,10 +21,23 @@ def top_keys(ct: DataFrame, k: int) -> DataFrame:
     return ct.orderBy(F.desc("m"), "key").limit(k)
 
 
-def ranked(ct: DataFrame, k: int) -> DataFrame:
-    """(key, m, rank, so_far) of the top k keys; the one task that orders them sees k rows at most."""
-    w = Window.orderBy(F.desc("m"), "key")
-    return top_keys(ct, k).withColumns({"rank": F.row_number().over(w), "so_far": F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+def ranked(ct: DataFrame) -> DataFrame:
+    """(key, m, rank, so_far) of all keys, those with the most rows first, ties by key.
+
+    Keys are dealt out in ranges of this order. Each range is ranked and summed by
+    itself, beginning with the keys and rows of the ranges before it.
+    """
+    order = [F.desc("m"), F.col("key")]
+    # Kept, since another run might cut the ranges elsewhere.
+    ranges = ct.select("key", "m").repartitionByRange(*order).withColumn("range", F.spark_partition_id()).persist()
+    before, keys, rows = [], 0, 0
+    for r in ranges.groupBy("range").agg(F.count("*").alias("keys"), F.sum("m").alias("rows")).orderBy("range").collect():
+        before.append((r["range"], keys, rows))
+        keys, rows = keys + r["keys"], rows + r["rows"]
+    begin = F.broadcast(ct.sparkSession.createDataFrame(before, "range int, keys long, rows long"))
+    w = Window.partitionBy("range").orderBy(*order)
+    own = {"rank": F.row_number().over(w), "so_far": F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    return ranges.withColumns(own).join(begin, "range").select("key", "m", (F.col("keys") + F.col("rank")).alias("rank"), (F.col("rows") + F.col("so_far")).alias("so_far"))
 
 
 def coverage(ct: DataFrame, k: int) -> DataFrame:

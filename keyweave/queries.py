@@ -149,11 +149,15 @@ def rounded_pid_sql(key: str, n: int, chunks: int) -> str:
 query("ct_full", CT_SQL)(ct)
 query("ct_topk", f"{CT_SQL} ORDER BY m DESC, key LIMIT 100")(lambda s, d: statistics.top_keys(ct(s, d), 100))
 query("ct_prefix_sum", f"SELECT key, m, cast(sum(m) OVER (ORDER BY m DESC, key ROWS UNBOUNDED PRECEDING) AS bigint) AS so_far FROM ({CT_SQL} ORDER BY m DESC, key LIMIT 1000)")(
-    lambda s, d: statistics.ranked(ct(s, d), 1000).select("key", "m", "so_far")
+    lambda s, d: statistics.ranked(statistics.top_keys(ct(s, d), 1000)).select("key", "m", "so_far")
 )
 query("ct_rank", f"SELECT key, m, cast(row_number() OVER (ORDER BY m DESC, key) AS integer) AS rank FROM ({CT_SQL} ORDER BY m DESC, key LIMIT 1000)")(
-    lambda s, d: statistics.ranked(ct(s, d), 1000).select("key", "m", "rank")
+    lambda s, d: statistics.ranked(statistics.top_keys(ct(s, d), 1000)).select("key", "m", F.col("rank").cast("int"))
 )
+query("ct_prefix_sum_whole", f"SELECT key, m, cast(sum(m) OVER (ORDER BY m DESC, key ROWS UNBOUNDED PRECEDING) AS bigint) AS so_far FROM ({CT_SQL})")(
+    lambda s, d: statistics.ranked(ct(s, d)).select("key", "m", "so_far")
+)
+query("ct_rank_whole", f"SELECT key, m, row_number() OVER (ORDER BY m DESC, key) AS rank FROM ({CT_SQL})")(lambda s, d: statistics.ranked(ct(s, d)).select("key", "m", "rank"))
 query("ct_coverage", f"WITH ct AS ({CT_SQL}) SELECT cast(sum(m) AS bigint) AS covered, (SELECT cast(sum(m) AS bigint) FROM ct) AS total, sum(m) / (SELECT sum(m) FROM ct) AS ratio FROM (SELECT * FROM ct ORDER BY m DESC, key LIMIT 500)")(
     lambda s, d: statistics.coverage(ct(s, d), 500)
 )
