@@ -1,3 +1,6 @@
+from bisect import bisect_right
+from statistics import NormalDist
+
 import pytest
 from keyweave.functions.hashes import HASHES, hashed, partition_id, rounded_partition_id
 from keyweave.operators import selection, statistics, workload
@@ -16,6 +19,20 @@ def test_drawn_keys_are_in_range(spark, dist):
     assert sorted(x[0] for x in s.repartition(7).select("key").collect()) == sorted(x[0] for x in s.select("key").collect())
 
 
+@pytest.mark.parametrize("dev", [0.2, 1.0, 5.0])
+def test_normal_keys_as_if_those_out_of_range_were_rejected(spark, dev):
+    n = 20000
+    keys = sorted(r[0] for r in spark.range(n).select(workload.drawn(F.col("id"), 1000, "normal", dev=dev)).collect())
+    d = NormalDist(500, dev * 250)
+    low, high = d.cdf(0), d.cdf(1000)
+    assert 0 <= keys[0] and keys[-1] < 1000
+    assert max(abs((d.cdf(k + 1) - low) / (high - low) - bisect_right(keys, k) / n) for k in range(1000)) < 0.012
+
+
+def test_normal_without_deviation(spark):
+    assert spark.range(50).select(workload.drawn(F.col("id"), 1000, "normal", dev=0.0)).distinct().collect() == [(500,)]
+
+
 def test_maps_of_keys(spark):
     n = spark.range(1000)
     assert n.select(workload.scattered(F.col("id"), 1000)).distinct().count() == 1000
