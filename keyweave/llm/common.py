@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -28,12 +27,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder that driver and executors share, as spark.checkpoint.dir or SparkContext.setCheckpointDir names it. There must be one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="keyweave-")
-        sc.setCheckpointDir(named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -54,6 +51,11 @@ class Stash:
         self.paths.setdefault(name, []).append(path)
         return out
 
+    def drop_all(self, *but: str) -> None:
+        """Delete everything but the tables kept under these names."""
+        for name in [n for n in self.paths if n not in but]:
+            self.drop(name)
+
     def drop(self, name: str, but: int = 0) -> None:
         """Delete the tables kept under a name, except the latest `but`."""
         paths = self.paths.get(name, [])
@@ -67,6 +69,34 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Keys that a broadcast for hot keys can have at most.
+HOT_KEYS = 1 << 14
+
+
+def by_counts(left: DataFrame, counts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """left joined with counts, which has one row for each key and the key's number of rows of left in m; left has `total` rows.
+
+    Keys with more than one of HOT_KEYS parts of all rows are broadcast: there can be no
+    more than HOT_KEYS of them, whatever the input. So their rows stay where they are,
+    and only keys with few rows are shuffled. Both tables are read twice, so they should
+    have been written.
+    """
+    hot = F.broadcast(counts.where(F.col("m") * HOT_KEYS > total))
+    cold = left.join(hot.select(*on), on, "left_anti").join(counts.where(F.col("m") * HOT_KEYS <= total), on)
+    return left.join(hot, on).unionByName(cold)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores in front as long as df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of an id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

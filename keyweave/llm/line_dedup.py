@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, Stash, table
+from .common import WORD_SPACE, Stash, by_counts, table, unused
 
 #: A run of lines counts as a repeated passage from so many words on; shorter ones, such as a common heading, stay.
 MIN_WORDS = 50
 
-
-def numbered(df: DataFrame, stash: Stash, name: str, order: list[str], number: str) -> DataFrame:
-    """df with a number that rises in the given order: a distributed sort, and the place of each row in it. Written, so that it stays as it is."""
-    return stash.keep(df.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), name)
+DOC = ["id", "copy"]
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,105 +18,125 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     words = F.regexp_count("line", F.lit(WORD_SPACE.replace("[", "[^")))
-    return picked.select("id", "copy", "i", F.xxhash64("line").alias("h1"), F.crc32(F.col("line").cast("binary")).alias("h2"), words.alias("w"))
+    return picked.select(*DOC, "i", F.xxhash64("line").alias("h1"), F.crc32(F.col("line").cast("binary")).alias("h2"), words.alias("w"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, copy, i): the lines that lie in a run of consecutive lines of a document, min_words words long or longer, that occurs before.
+def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """lines (id, copy, i, h1, h2, w) that lie in segments with enough words, with `to` and `since`: where the shortest run of min_words words that begins here ends, and where that begins which ends here.
 
-    Before means in a document with a smaller id, or further up in the same one; the
-    occurrences may overlap. Only lines that occur twice or more can be part of such a
-    run; between two others they form segments, and of these only those with enough
-    words matter.
-
-    Prefix doubling ranks the runs of 1, 2, 4, ... lines: the rank of a run is the place
-    of its two halves' ranks among all such pairs, sorted, so suffixes that share so
-    many lines lie together in the suffix array. An interval with one suffix is
-    dropped, as no longer run of it can repeat. For each suffix the length of its
-    longest run that an earlier suffix shares is then found bit by bit: a run of any
-    length is told by the ranks of the two runs of a power of two that cover it, and
-    the first suffix of each such interval is known.
+    A segment is a run of lines whose numbers follow each other. Where no such run fits
+    in, the column is null. since is null, too, if the run would lose nothing but its
+    last line's words by being shorter: the one that begins there says it already.
     """
-    stash = Stash(docs.sparkSession)
-    doc = ["id", "copy"]
-    lines = stash.keep(document_lines(docs, id_col, text_col), "lines")
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("w").alias("w")).where("n > 1").select("h1", "h2")
-    active = lines.join(often, ["h1", "h2"]).repartition(*doc).dropDuplicates([*doc, "i"])
-    by_doc = Window.partitionBy(*doc).orderBy("i")
-    active = active.withColumn("run", F.col("i") - F.row_number().over(by_doc))
-    by_run = Window.partitionBy(*doc, "run")
-    active = active.withColumns({"words": F.sum("w").over(by_run), "n": F.count("*").over(by_run).cast("int"), "start": F.min("i").over(by_run)}).where(F.col("words") >= min_words)
-    active = active.withColumn("c", F.sum("w").over(by_run.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    active = stash.keep(active.select(*doc, "i", "start", "n", "h1", "h2", "w", "c"), "active")
-    stash.drop("lines")
-
-    segments = numbered(active.where("i = start").select(*doc, "start"), stash, "segments", [*doc, "start"], "s")
-    ids = numbered(active.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2"), stash, "ids", ["h1", "h2"], "r")
-    place = active.join(segments, [*doc, "start"]).withColumn("o", (F.col("i") - F.col("start")).cast("long"))
-    place = stash.keep(place.select("s", "o", "n", "w", "c", "h1", "h2"), "place")
-    stash.drop("active")
-    longest = place.agg(F.max("n")).first()[0] or 0
-
-    def first_of(ranks: DataFrame) -> DataFrame:
-        first = ranks.groupBy("r").agg(F.min(F.struct("s", "o")).alias("first"))
-        return ranks.join(first, "r").select("s", "o", "r", (F.col("first") < F.struct("s", "o")).alias("later"))
-
-    ranks = [stash.keep(first_of(place.join(ids, ["h1", "h2"]).select("s", "o", "r")), "ranks")]
+    by_doc = Window.partitionBy(*DOC).orderBy("i")
+    lines = lines.repartition(*DOC).dropDuplicates([*DOC, "i"]).withColumn("run", F.col("i") - F.row_number().over(by_doc))
+    run = Window.partitionBy(*DOC, "run")
+    before = run.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumns({"words": F.sum("w").over(run), "begin": F.min("i").over(run), "end": F.max("i").over(run), "c": F.sum("w").over(before)})
+    lines = lines.where(F.col("words") >= min_words).withColumn("b", F.col("c") - F.col("w"))
+    # Frames that only grow: lines with min_words words more before them, and lines up to which there are min_words words less.
+    beyond = run.orderBy(F.desc("b")).rangeBetween(Window.unboundedPreceding, -min_words)
+    behind = run.orderBy("c").rangeBetween(Window.unboundedPreceding, -min_words)
+    lines = lines.withColumns({"next": F.min("i").over(beyond), "last": F.max("i").over(behind), "c_last": F.max("c").over(behind)})
+    to = F.when(F.col("next").isNotNull(), F.col("next") - 1).when(F.col("words") - F.col("b") >= min_words, F.col("end"))
+    since = F.when((F.col("c") >= min_words) & (F.col("b") - F.coalesce("c_last", F.lit(0)) >= min_words), F.coalesce(F.col("last") + 1, "begin"))
+    return lines.select(*DOC, "i", "h1", "h2", to.alias("to"), since.alias("since"))
+
+
+def ranked(rows: DataFrame, by: list[str], stash: Stash) -> DataFrame:
+    """(id, copy, i, r) of the rows whose `by` occurs twice or more: r rises with `by` and is equal for equal ones. rows should have been written."""
+    kinds = rows.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").orderBy(*by)
+    # Written, so that the numbers stay as they are.
+    kinds = stash.keep(kinds.withColumn("r", F.monotonically_increasing_id()), "kinds")
+    out = stash.keep(by_counts(rows, kinds, by, rows.count()).select(*DOC, "i", "r"), "ranks")
+    stash.drop("kinds")
+    return out
+
+
+def suffix_ranks(lines: DataFrame, longest: int, stash: Stash) -> list[DataFrame]:
+    """By prefix doubling, tables (id, copy, i, r) for 1, 2, 4, ... lines up to `longest`: the rank of the suffix of a document from line i on, among all suffixes, by its first so many lines.
+
+    Suffixes that share these lines have one rank and lie together in the suffix array.
+    One that shares them with no other is left out, as nothing longer from it on is
+    repeated. lines (id, copy, i, h1, h2) should have been written.
+    """
+    ranks = [ranked(lines, ["h1", "h2"], stash)]
     while 1 << len(ranks) <= longest:
         half = 1 << (len(ranks) - 1)
-        low = ranks[-1].select("s", "o", F.col("r").alias("a"))
-        high = ranks[-1].select("s", (F.col("o") - half).alias("o"), F.col("r").alias("b"))
-        pairs = stash.keep(low.join(high, ["s", "o"]), "pairs")
-        kinds = numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b"), stash, "kinds", ["a", "b"], "r")
-        level = stash.keep(first_of(pairs.join(kinds, ["a", "b"]).select("s", "o", "r")), "ranks")
+        then = F.first("r").over(Window.partitionBy(*DOC).orderBy("i").rangeBetween(half, half))
+        pairs = stash.keep(ranks[-1].select(*DOC, "i", F.col("r").alias("a"), then.alias("b")).where("b is not null"), "pairs")
+        level = ranked(pairs, ["a", "b"], stash)
         stash.drop("pairs")
-        stash.drop("kinds")
         if level.isEmpty():
             break
         ranks.append(level)
+    return ranks
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, copy, first, last): the maximal runs of consecutive lines in which every line belongs to a run, min_words words long or longer, that occurs before.
+
+    Before means in a document with a smaller id, or further up in the same one; the
+    occurrences may overlap. Null ids come first. Rows equal in id and text are one document.
+
+    Only lines that occur twice or more can be part of such a run, and only segments of
+    them with enough words. A line of a repeated run with enough words lies in one that
+    cannot be shortened at its end or, if not so, in one that cannot be shortened at its
+    beginning; these shortest runs, two for each line at most, are looked up in the
+    suffix array: the suffixes that share so many lines form an interval whose longest
+    common prefix is at least that long, and two ranks, of the powers of two that cover
+    the run from its two ends, tell the intervals apart. All but the first occurrence
+    of an interval are later copies. Overlapping ones are joined to maximal runs.
+    """
+    stash = Stash(docs.sparkSession)
+    lines = stash.keep(document_lines(docs, id_col, text_col), "lines")
+    often = stash.keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1"), "often")
+    lines = stash.keep(shortest_runs(by_counts(lines, often, ["h1", "h2"], lines.count()).drop("m"), min_words), "segments")
+    stash.drop_all("segments")
+
+    ends = F.array(F.struct(F.col("i").alias("first"), F.col("to").alias("last")), F.struct(F.col("since").alias("first"), F.col("i").alias("last")))
+    runs = lines.select(*DOC, F.explode(ends).alias("x")).select(*DOC, "x.first", "x.last").where("first is not null and last is not null")
+    runs = runs.withColumn("n", F.col("last") - F.col("first") + 1)
+    longest = runs.agg(F.max("n")).first()[0] or 0
+    levels = suffix_ranks(lines.select(*DOC, "i", "h1", "h2"), longest, stash)
 
     every = None
-    for k, level in enumerate(ranks):
-        rows = level.select(F.lit(k).alias("k"), "s", "o", "r", "later")
+    for k, level in enumerate(levels):
+        rows = level.select(F.lit(k).alias("k"), *DOC, "i", "r")
         every = rows if every is None else every.union(rows)
-    top = every.where("later").groupBy("s", "o").agg(F.max(F.struct("k", "r")).alias("t"))
-    known = stash.keep(top.select("s", "o", "t.k", "t.r", F.expr("shiftleft(1L, t.k)").alias("len")), "known")
-    for bit in range(len(ranks) - 2, -1, -1):
-        asked = known.where(F.col("k") > bit).select("s", "o", "k", "r", (F.col("len") + (1 << bit)).alias("try"))
-        wanted = asked.select("k", "r", "try").distinct()
-        # Every suffix of an interval that is asked about, not only those that ask, may be the first with the longer run.
-        near = every.select("k", "s", "o", "r").join(wanted, ["k", "r"]).withColumn("to", F.expr("o + try - shiftleft(1L, k)"))
-        far = every.select("k", "s", F.col("o").alias("to"), F.col("r").alias("b"))
-        runs = near.join(far, ["k", "s", "to"]).select("k", "s", "o", "r", "try", "b")
-        first = runs.groupBy("k", "r", "try", "b").agg(F.min(F.struct("s", "o")).alias("first"))
-        longer = runs.join(first, ["k", "r", "try", "b"]).where(F.col("first") < F.struct("s", "o")).select("s", "o", "try")
-        longer = asked.select("s", "o", "try").join(longer, ["s", "o", "try"])
-        known = stash.keep(known.join(longer, ["s", "o"], "left").select("s", "o", "k", "r", F.coalesce("try", "len").alias("len")), "known")
-        stash.drop("known", but=1)
-
-    ends = known.select("s", "o", "len", (F.col("o") + F.col("len") - 1).alias("last"))
-    ends = ends.join(place.select("s", F.col("o").alias("last"), F.col("c").alias("to_c")), ["s", "last"])
-    by_segment = Window.partitionBy("s").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    covered = place.join(ends, ["s", "o"], "left").withColumn("end", F.when(F.col("to_c") - F.col("c") + F.col("w") >= min_words, F.col("last")))
-    covered = covered.withColumn("until", F.max("end").over(by_segment)).where(F.col("o") <= F.col("until")).select("s", "o")
-    return covered.join(segments, "s").select(*doc, (F.col("start") + F.col("o")).cast("int").alias("i"))
+    runs = runs.withColumn("k", F.floor(F.log2("n")).cast("int")).withColumn("middle", F.expr("last + 1 - shiftleft(1, k)"))
+    runs = runs.join(every.select("k", *DOC, F.col("i").alias("first"), F.col("r").alias("a")), ["k", *DOC, "first"])
+    runs = runs.join(every.select("k", *DOC, F.col("i").alias("middle"), F.col("r").alias("b")), ["k", *DOC, "middle"])
+    runs = stash.keep(runs.select(*DOC, "first", "last", "n", "a", "b"), "runs")
+    here = F.struct(*DOC, "first")
+    intervals = stash.keep(runs.groupBy("n", "a", "b").agg(F.count("*").alias("m"), F.min(here).alias("origin")).where("m > 1"), "intervals")
+    later = by_counts(runs, intervals, ["n", "a", "b"], runs.count()).where(F.col("origin") < here)
+
+    in_order = Window.partitionBy(*DOC).orderBy("first", "last")
+    so_far = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("new", F.when(F.col("first") <= so_far, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = stash.keep(apart.groupBy(*DOC, "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"), "found")
+    stash.drop_all("found")
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the text that is left, and the columns __lines (how many there were) and __removed (the numbers of those that went, from 0).
+    """docs with the text that is left, and two columns more: __lines (how many there were) and __removed (the numbers of those that went, from 0).
 
-    All columns of docs stay. Null text stays null. Rows equal in id and text are one
+    All columns of docs stay; where docs has a column of one of these names, the new one
+    gets more underscores. Null text stays null. Rows equal in id and text are one
     document and treated alike; a null id comes before all others. An empty table
     gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("id", "copy").agg(F.sort_array(F.collect_set("i")).alias("__removed"))
+    key, copy, gone, n_lines, removed = unused(docs, "key", "copy", "gone", "__lines", "__removed")
+    found = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("id").alias(key), F.col("copy").alias(copy)).agg(F.collect_list(F.sequence("first", "last")).alias(gone))
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__copy": F.xxhash64(F.coalesce(text, F.lit("")))})
-    both = keyed.join(gone.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "__removed"), ["__id", "__copy"], "left")
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), copy: F.xxhash64(F.coalesce(text, F.lit("")))})
+    both = keyed.join(found, [key, copy], "left").withColumn(removed, F.array_sort(F.array_distinct(F.flatten(gone))))
     lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    kept = F.when(F.col("__removed").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    return both.select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.coalesce("__removed", F.array().cast("array<int>")).alias("__removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    kept = F.when(F.col(removed).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    return both.select(*(kept.alias(c) if c == text_col else c for c in docs.columns), F.coalesce(F.size(lines), F.lit(0)).alias(n_lines), F.coalesce(removed, F.array().cast("array<int>")).alias(removed))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from keyweave.llm.line_dedup import remove_repeats, repeated_lines
+from keyweave.llm.line_dedup import remove_repeats, repeated_runs
 
 
 def words(line):
@@ -60,7 +60,7 @@ def test_columns_and_no_rows(frame, no_rows):
     found = remove_repeats(frame)
     assert found.columns == [*frame.columns, "__lines", "__removed"]
     assert found.count() == frame.count()
-    assert remove_repeats(no_rows).count() == repeated_lines(no_rows).count() == 0
+    assert remove_repeats(no_rows).count() == repeated_runs(no_rows).count() == 0
 
 
 def test_first_copy_stays(spark):
@@ -68,3 +68,17 @@ def test_first_copy_stays(spark):
     df = spark.createDataFrame([(1, "own start\n" + passage), (2, passage + "\nown end"), (3, "x\n" + passage + "\ny\n" + passage)], "doc_id long, text string")
     found = {r.doc_id: r.text for r in remove_repeats(df).collect()}
     assert found == {1: "own start\n" + passage, 2: "own end", 3: "x\ny"}
+
+
+def test_frequent_lines_are_broadcast_and_others_shuffled(spark, documents, monkeypatch):
+    one_id = [d for d in documents if d[0] is not None and d[0] != 131]
+    for hot in (1, 20):
+        monkeypatch.setattr("keyweave.llm.common.HOT_KEYS", hot)
+        check(spark, one_id, 20)
+
+
+def test_lines_without_words_within_a_run(spark):
+    passage = "a b c\n\n\n\nd e f\n\n"
+    df = [(1, passage + "own"), (2, "x\n" + passage + passage), (3, "\n\n" + passage), (4, "d e f\n\n\na b c")]
+    for least in (1, 3, 6, 7):
+        check(spark, df, least)
