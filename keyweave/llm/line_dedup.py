@@ -43,29 +43,29 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.select(*DOC, "i", "h1", "h2", to.alias("to"), since.alias("since"))
 
 
-def ranked(rows: DataFrame, by: list[str], stash: Stash) -> DataFrame:
-    """(id, copy, i, r) of the rows whose `by` occurs twice or more: r rises with `by` and is equal for equal ones. rows should have been written."""
+def ranked(rows: DataFrame, by: list[str], total: int, stash: Stash) -> DataFrame:
+    """(id, copy, i, r) of the rows, `total` at most, whose `by` occurs twice or more: r rises with `by` and is equal for equal ones. rows should have been written."""
     kinds = rows.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1").orderBy(*by)
     # Written, so that the numbers stay as they are.
     kinds = stash.keep(kinds.withColumn("r", F.monotonically_increasing_id()), "kinds")
-    out = stash.keep(by_counts(rows, kinds, by, rows.count()).select(*DOC, "i", "r"), "ranks")
+    out = stash.keep(by_counts(rows, kinds, by, total).select(*DOC, "i", "r"), "ranks")
     stash.drop("kinds")
     return out
 
 
-def suffix_ranks(lines: DataFrame, longest: int, stash: Stash) -> list[DataFrame]:
+def suffix_ranks(lines: DataFrame, longest: int, total: int, stash: Stash) -> list[DataFrame]:
     """By prefix doubling, tables (id, copy, i, r) for 1, 2, 4, ... lines up to `longest`: the rank of the suffix of a document from line i on, among all suffixes, by its first so many lines.
 
     Suffixes that share these lines have one rank and lie together in the suffix array.
     One that shares them with no other is left out, as nothing longer from it on is
     repeated. lines (id, copy, i, h1, h2) should have been written.
     """
-    ranks = [ranked(lines, ["h1", "h2"], stash)]
+    ranks = [ranked(lines, ["h1", "h2"], total, stash)]
     while 1 << len(ranks) <= longest:
         half = 1 << (len(ranks) - 1)
         then = F.first("r").over(Window.partitionBy(*DOC).orderBy("i").rangeBetween(half, half))
         pairs = stash.keep(ranks[-1].select(*DOC, "i", F.col("r").alias("a"), then.alias("b")).where("b is not null"), "pairs")
-        level = ranked(pairs, ["a", "b"], stash)
+        level = ranked(pairs, ["a", "b"], total, stash)
         stash.drop("pairs")
         if level.isEmpty():
             break
@@ -97,8 +97,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = F.array(F.struct(F.col("i").alias("first"), F.col("to").alias("last")), F.struct(F.col("since").alias("first"), F.col("i").alias("last")))
     runs = lines.select(*DOC, F.explode(ends).alias("x")).select(*DOC, "x.first", "x.last").where("first is not null and last is not null")
     runs = runs.withColumn("n", F.col("last") - F.col("first") + 1)
-    longest = runs.agg(F.max("n")).first()[0] or 0
-    levels = suffix_ranks(lines.select(*DOC, "i", "h1", "h2"), longest, stash)
+    longest, total = runs.agg(F.max("n"), F.count("*")).first()
+    levels = suffix_ranks(lines.select(*DOC, "i", "h1", "h2"), longest or 0, lines.count(), stash)
 
     every = None
     for k, level in enumerate(levels):
@@ -110,7 +110,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = stash.keep(runs.select(*DOC, "first", "last", "n", "a", "b"), "runs")
     here = F.struct(*DOC, "first")
     intervals = stash.keep(runs.groupBy("n", "a", "b").agg(F.count("*").alias("m"), F.min(here).alias("origin")).where("m > 1"), "intervals")
-    later = by_counts(runs, intervals, ["n", "a", "b"], runs.count()).where(F.col("origin") < here)
+    later = by_counts(runs, intervals, ["n", "a", "b"], total).where(F.col("origin") < here)
 
     in_order = Window.partitionBy(*DOC).orderBy("first", "last")
     so_far = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
