@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import regex
-from keyweave.llm.decontaminate import RADIUS, benchmark_matches, flips, without_items
+from keyweave.llm.decontaminate import BLOCKS, RADIUS, benchmark_matches, flips, without_items
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -70,7 +70,24 @@ def test_filter_and_awkward_tables(spark, frame, no_rows, documents):
 
 def test_blocks_cover_the_radius():
     rng = random.Random(1)
-    near = set(flips(RADIUS // 8))
+    assert sum(bits for _, bits, _ in BLOCKS) == 64 and sum(limit + 1 for _, _, limit in BLOCKS) > RADIUS
+    near = [set(flips(bits, limit)) for _, bits, limit in BLOCKS]
     for _ in range(300):
         x = sum(1 << b for b in rng.sample(range(64), RADIUS))
-        assert any((x >> 8 * b) & 255 in near for b in range(8))
+        assert any((x >> at) & ((1 << bits) - 1) in close for (at, bits, _), close in zip(BLOCKS, near, strict=True))
+
+
+def test_shuffled_when_tables_are_large(spark, monkeypatch):
+    docs, items = fixture()
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(tuple(r) for r in benchmark_matches(*frames).collect())
+    monkeypatch.setattr("keyweave.llm.decontaminate.BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in benchmark_matches(*frames).collect()) == want
+
+
+def test_long_repetitive_text(spark):
+    """As many windows as words, and few different ones."""
+    docs = spark.createDataFrame([(1, "ha " * 20_000), (2, "ho hum " * 9_000), (3, "ha " * 29)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ha " * 30), (2, "hum ho " * 20), (3, "ha ho " * 20)], "item_id long, text string")
+    found = {(r.id, r.item): (r.start, r.n_words) for r in benchmark_matches(docs, items).collect()}
+    assert found == {(1, 1): (0, 30), (2, 2): (0, 40), (3, 1): (0, 29)}
