@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -27,10 +29,17 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir or SparkContext.setCheckpointDir names it. There must be one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as spark.checkpoint.dir or SparkContext.setCheckpointDir names it.
+
+    Where neither does, a temporary one if all of Spark is one local process, else an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="keyweave-")
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -102,6 +111,11 @@ def fold(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def valid(column: str) -> Column:
+    """A column as text in which bytes that are no UTF-8 became U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, small_batches, table
+from .common import as_bytes, fold, small_batches, table, valid
 
 #: n-grams are three bytes within a word and its borders, put into so many buckets.
 BITS = 16
@@ -184,7 +184,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s: Se
                 yield from out()
         yield from out()
 
-    picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    picked = docs.select(valid(lang_col).alias("lang"), valid(text_col).alias("text")).where("lang is not null and text is not null")
     found = picked.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, of = np.unique(found["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if found.num_rows else (np.zeros(0, str), np.zeros(0, int))
     counts = np.full((BUCKETS, len(names)), s.smoothing)
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, known: Languages, id_col: str = "doc_id", text_col:
                 ["id", "lang_pred", "score", "proportions"],
             )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(valid(text_col), F.lit("")).alias("text"))
     picked = picked.withColumn("has", F.col("text").rlike(r"\p{L}"))
     return picked.mapInArrow(run, "id long, lang_pred string, score double, proportions map<string, double>")
 

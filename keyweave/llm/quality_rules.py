@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, as_bytes, small_batches, table
+from .common import Stash, as_bytes, small_batches, table, unused, valid
 
 #: Classes of a code point, told by its first UTF-8 byte. Fixed values, in this order.
 CLASSES = ["lower", "upper", "digit", "space", "stop", "symbol", "other_ascii", "beyond_ascii"]
@@ -157,7 +157,7 @@ def language_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield from out()
         yield from out()
 
-    picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(valid(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = picked.mapInArrow(run, "lang string, kind string, item binary, n long")
     return parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col, rules))
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), valid(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     names = [x.split()[0] for x in VERDICT.split(", ")]
     kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]] for x in VERDICT.split(", ")]
 
@@ -225,8 +225,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; rows that share an id and differ in text stand or fall together."""
-    bad = judge(docs, id_col, text_col, lang_col, rules).where("not kept").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    (gone,) = unused(docs, "gone")
+    bad = judge(docs, id_col, text_col, lang_col, rules).where("not kept").select(F.col("id").alias(gone)).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[gone]), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

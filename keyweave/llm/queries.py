@@ -15,7 +15,7 @@ from .quality_rules import op4
 from .simhash_dedup import op10
 from .token_counts import op2
 from .toxicity import op1
-from .warc import op6
+from .warc import OP6_SQL, op6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1,
@@ -31,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Stash, as_bytes, small_batches, table
+from .common import Stash, as_bytes, small_batches, table, unused
 from .components import components
 
 SHINGLE = 3
@@ -129,5 +129,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat an id all stay or all go; rows with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = found.where("id <> component").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

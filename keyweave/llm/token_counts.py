@@ -89,15 +89,16 @@ class Counter:
         new = {w for ws in words for w in ws}.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, {w for ws in words for w in ws}
-        for token, n in trie_counts({START + w.decode("utf-8", "replace") for w in new}, self.pieces).items():
-            self.known[token[1:].encode()] = n
+        tokens = {w: START + w.decode("utf-8", "replace") for w in new}
+        counts = trie_counts(set(tokens.values()), self.pieces)
+        self.known.update((w, counts[token]) for w, token in tokens.items())
         return [(len(ws), sum(map(self.known.__getitem__, ws))) for ws in words]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_pretokens, n_tokens) for every row. Pre-tokens are the words between ASCII white space, with the start mark.
 
-    Null counts as an empty text, which has none. Repeated rows count alike; an empty
+    Bytes that are no UTF-8 count as U+FFFD. Null counts as an empty text, which has none. Repeated rows count alike; an empty
     table gives no rows.
     """
     small_batches(docs.sparkSession)

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import fresh_path, small_batches, table
+from .common import fresh_path, small_batches, table, valid
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
@@ -368,7 +368,7 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     are grouped and joined, so a payload that very many pages have costs no more than
     any other.
     """
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), valid("url").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     d = d.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
     groups = d.where(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
     revisits = d.select("page_id", "digest", "length").join(groups.drop("n"), ["digest", "length"]).where(~F.col("page_id").eqNullSafe(F.col("keeper")))
@@ -400,3 +400,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.when(~response, number("refers_to")).alias("refers_to"),
     )
+
+
+#: The pages whose html others repeat, by the contract alone.
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n < {LEAST_REVISIT} OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= {LEAST_REVISIT} AND page_id <> keeper THEN keeper END AS refers_to
+FROM k
+"""
