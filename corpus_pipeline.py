@@ -21,8 +21,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of whole lines that came before; one that consisted of nothing else goes. n_chars follows the text."""
     left = line_dedup.remove_repeats(docs)
-    left = left.where((F.size("__removed") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    changed = F.when(F.size("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    gone = F.size(left.columns[-1])
+    left = left.where((gone == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    changed = F.when(gone > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.select(*(changed.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
