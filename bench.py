@@ -11,8 +11,8 @@ from keyweave.queries import QUERIES
 from keyweave.session import session
 
 HEADLINE = [
-    "join_nbj", "join_smj", "join_ghj", "join_dhh_skew", "join_nocap_hybrid", "join_ocap_hybrid", "join_skewed_ghj", "join_skewed_dhh_skew",
-    "join_skewed_nocap_hybrid", "join_hotcold", "ct_full", "partition_stats", "tpch_q01", "tpch_q03", "tpch_q05", "tpch_q09", "tpch_q12", "tpch_q18", "tpch_q21",
+    "join_nbj", "join_smj", "join_ghj", "join_dhh_skew", "join_correlated_hybrid", "join_ocap_hybrid", "join_skewed_ghj", "join_skewed_dhh_skew",
+    "join_skewed_correlated_hybrid", "join_hotcold", "ct_full", "partition_stats", "tpch_q01", "tpch_q03", "tpch_q05", "tpch_q09", "tpch_q12", "tpch_q18", "tpch_q21",
 ]
 
 

@@ -1,28 +1,32 @@
-"""Partition ids from a layout."""
+"""Rows sent to the partitions that a layout names."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashes import partition_id, rounded_partition_id
+from ..functions.hashes import partition_id
 from ..plans.layout import Layout
 
-#: The route of a key at hand.
-HOT = -1
-
 
 def routes(spark, keys: list, layout: Layout, key_type: str) -> DataFrame:
-    """(key, route) of the tracked keys: HOT, or the number of a designated partition. As many rows as keys are tracked."""
-    rows = [(key, HOT if i < layout.hot else max(0, bisect_right(layout.cuts, i) - 1)) for i, key in enumerate(keys)]
-    return spark.createDataFrame(rows, f"key {key_type}, route int")
+    """(__key, __parts) of the tracked keys. As many rows as keys are tracked, so it can be broadcast whatever the relations' size."""
+    return F.broadcast(spark.createDataFrame([(k, list(p)) for k, p in zip(keys, layout.parts, strict=True)], f"__key {key_type}, __parts array<int>"))
+
+
+def _rest(key: str, layout: Layout, fn: str):
+    return partition_id(F.col(key), layout.rest, fn) + layout.designated
+
+
+def built(r: DataFrame, key: str, known: DataFrame, layout: Layout, fn: str = "xxhash64") -> DataFrame:
+    """R with `__route`: a row for each partition that its key's rows of S are dealt to."""
+    both = r.join(known, r[key] == known["__key"], "left")
+    parts = F.array_distinct(F.coalesce("__parts", F.array(_rest(key, layout, fn))))
+    return both.withColumn("__route", F.explode(parts)).drop("__key", "__parts").repartitionById(layout.partitions, F.col("__route"))
 
 
-def routed(df: DataFrame, key: str, known: DataFrame, layout: Layout, fn: str = "xxhash64", chunks: int = 0) -> DataFrame:
-    """df with `route`: that of a tracked key, else a hashed partition after the designated ones. The tracked keys are few enough to broadcast, whatever df's size."""
-    rest: Column = rounded_partition_id(F.col(key), layout.rest, chunks, fn) if chunks > layout.rest else partition_id(F.col(key), layout.rest, fn)
-    named = known.withColumnRenamed("key", "__key")
-    both = df.join(F.broadcast(named), df[key] == named["__key"], "left").drop("__key")
-    return both.withColumn("route", F.coalesce("route", rest + layout.designated))
+def probing(s: DataFrame, key: str, known: DataFrame, layout: Layout, fn: str = "xxhash64") -> DataFrame:
+    """S with `__to`: the partition of its key, or the next one of several."""
+    both = s.withColumn("__row", F.monotonically_increasing_id()).join(known, s[key] == known["__key"], "left")
+    part = F.get("__parts", F.pmod("__row", F.size("__parts")).cast("int"))
+    return both.withColumn("__to", F.coalesce(part, _rest(key, layout, fn))).drop("__key", "__parts", "__row").repartitionById(layout.partitions, F.col("__to"))

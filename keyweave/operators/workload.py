@@ -25,6 +25,18 @@ def _poly(x: Column, *factors: float) -> Column:
     return out
 
 
+#: Fixed values of Acklam's approximation: numerators and denominators near the middle and in the tails, and where the tails begin.
+NEAR = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+)
+FAR = (
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+TAIL = 0.02425
+
+
 def _normal_within(u: Column, most: float) -> Column:
     """The normal deviate between -most and most below which lies a part u of those between them.
 
@@ -33,11 +45,9 @@ def _normal_within(u: Column, most: float) -> Column:
     low = NormalDist().cdf(-most)
     p = low + (u + 2.0**-33) * (1 - 2 * low)
     q, t = p - 0.5, F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    near = q * _poly(q * q, -39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    near = near / _poly(q * q, -54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
-    far = _poly(t, -0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    far = far / _poly(t, 0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
-    return F.when(F.least(p, 1 - p) >= 0.02425, near).otherwise(F.when(q < 0, far).otherwise(-far))
+    near = q * _poly(q * q, *NEAR[0]) / _poly(q * q, *NEAR[1])
+    far = _poly(t, *FAR[0]) / _poly(t, *FAR[1])
+    return F.when(F.least(p, 1 - p) >= TAIL, near).otherwise(F.when(q < 0, far).otherwise(-far))
 
 
 def drawn(row: Column, keys: int, dist: str = "uniform", seed: int = 0, alpha: float = 1.0, beta: float = 1.0, dev: float = 1.0) -> Column:

@@ -1,98 +1,72 @@
-"""Which keys are kept at hand, which get partitions of their own, and how the rest is hashed."""
+"""Where the keys with very many rows go, so that no partition of a join gets much more than its share."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..operators.statistics import top_keys
-from .cost import Budget, Device, hashed_rows, probe_rows, spilled_rows
-
-#: Cells of the grid on which cuts are sought; a cell is that part of the tracked keys.
-CELLS = 256
 
 
 @dataclass(frozen=True)
 class Layout:
-    """hot: how many of the top keys stay at hand. cuts: ranks (from 0) after which a new designated partition begins.
+    """parts: for each tracked key, the most frequent first, the partitions that its rows are dealt to.
 
-    tracked: ranks below this have a place of their own; the others are hashed to `rest`
-    partitions. use_nbj: one pass of chunks over S is cheaper than any partitioning.
+    The first `hot` keys go to every partition. Partitions below `designated` hold tracked
+    keys, the `rest` after them the others, by hash. most: rows that the largest is expected to get.
     """
 
+    parts: tuple[tuple[int, ...], ...]
     hot: int
-    cuts: tuple[int, ...]
-    tracked: int
+    designated: int
     rest: int
-    cost: float
-    use_nbj: bool
+    most: float
 
     @property
-    def designated(self) -> int:
-        return len(self.cuts) if self.tracked > self.hot else 0
-
+    def partitions(self) -> int:
+        return self.designated + self.rest
 
-def slice_costs(prefix: np.ndarray, at: np.ndarray, b: Budget, d: Device) -> np.ndarray:
-    """cost[i, j] of a partition of the keys from rank at[i] up to at[j]."""
-    n = len(at)
-    out = np.full((n, n), np.inf)
-    for i in range(n):
-        for j in range(i + 1, n):
-            out[i, j] = probe_rows(at[j] - at[i], prefix[at[j]] - prefix[at[i]], b, d)
-    return out
+    def __str__(self) -> str:
+        dealt = f"{self.hot} hot keys in every partition, " if self.hot else ""
+        return f"{dealt}{len(self.parts) - self.hot} tracked keys in {self.designated} partitions, the others hashed to {self.rest}"
 
 
-def best_cuts(costs: np.ndarray, most: int) -> tuple[float, list[int]]:
-    """The cheapest way to cut the cells 0..n-1 into at most `most` runs: (cost, first cell of each run)."""
-    n = len(costs) - 1
-    if n <= 0 or most < 1:
-        return (0.0 if n <= 0 else float("inf")), []
-    value, came = costs[0].copy(), [np.zeros(n + 1, int)]
-    best = (float(value[n]), 1)
-    for _ in range(2, min(most, n) + 1):
-        through = value[:, None] + costs
-        came.append(through.argmin(axis=0))
-        value = through.min(axis=0)
-        if value[n] < best[0]:
-            best = (float(value[n]), len(came))
-    cuts, end = [], n
-    for level in range(best[1] - 1, -1, -1):
-        end = int(came[level][end])
-        cuts.append(end)
-    return best[0], cuts[::-1]
+def cut(loads: np.ndarray, most: float, limit: int) -> list[int]:
+    """Where runs of consecutive loads begin if each takes in as many as stay within `most`: the fewest runs. Empty if more than `limit` are needed."""
+    so_far = np.concatenate(([0.0], np.cumsum(loads)))
+    cuts, at = [], 0
+    while at < len(loads):
+        if len(cuts) == limit:
+            return []
+        cuts.append(at)
+        at = max(at + 1, int(np.searchsorted(so_far, so_far[at] + most * (1 + 1e-12), "right")) - 1)
+    return cuts
 
 
-def plan(m: np.ndarray, r_rows: int, s_rows: int, b: Budget = Budget(), d: Device = Device(), hybrid: bool = True, cells: int = CELLS) -> Layout:
-    """The cheapest layout for keys whose multiplicities are m, largest first; other keys share what is left of S.
+def plan(m: np.ndarray, r_rows: int, s_rows: int, partitions: int, hybrid: bool = True) -> Layout:
+    """The layout whose largest partition is smallest, for keys of R whose rows of S are m, largest first.
 
-    Tried for doubling numbers of hot keys (none unless hybrid): the tracked keys cut
-    into designated partitions on a grid, and the rest hashed.
+    A key with more rows than a partition's share is hot: hybrid deals its rows to all
+    partitions, each of which has its row of R at hand; otherwise they are dealt to as
+    many as they fill. The other tracked keys are cut into runs, those that aren't tracked are hashed. How
+    many partitions each kind gets, and where the cuts are, follows from the least load that suffices.
     """
-    nested = ceil(r_rows / b.chunk) * s_rows + r_rows
-    best = Layout(0, (), 0, 1, float(nested), True)
-    prefix = np.concatenate(([0], np.cumsum(m)))
-    parts = max(2, min(b.pages - 1, ceil(r_rows / (b.chunk * d.alpha)) * 2))
-    hot_sizes = sorted({0, *([h for h in (1 << i for i in range(20)) if h <= min(len(m), b.chunk)] if hybrid else [])})
-    for hot in hot_sizes:
-        at = np.unique(np.linspace(hot, len(m), min(cells, len(m) - hot) + 1).astype(int))
-        costs = slice_costs(prefix, at, b, d)
-        left_r, left_s = r_rows - len(m), s_rows - prefix[-1]
-        spill = spilled_rows(r_rows - hot, s_rows - prefix[hot], d)
-        for rest in sorted({1, max(1, parts // 2), parts} if left_r > 0 else {0}):
-            own, cuts = best_cuts(costs, max(1, parts - rest))
-            total = hot + spill + own + hashed_rows(left_r, left_s, rest, b, d)
-            if total < best.cost:
-                best = Layout(hot, tuple(int(at[c]) for c in cuts), len(m), max(1, rest), float(total), False)
-    return best
-
-
-def plan_join(ct: DataFrame, b: Budget = Budget(), d: Device = Device(), k: int = 50_000, hybrid: bool = True) -> tuple[Layout, list]:
-    """A layout from the correlation table, and the tracked keys in order. At most k keys reach the driver."""
-    r_rows, s_rows = ct.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    tracked = top_keys(ct.where("m > 0"), k).collect()
-    m = np.array([x["m"] for x in tracked], float)
-    return plan(m, r_rows, int(s_rows), b, d, hybrid), [x["key"] for x in tracked]
+    n, total = partitions, float(r_rows + s_rows)
+    share = total / n
+    hot = int((m > share).sum()) if hybrid and n > 1 else 0
+    pieces = np.minimum(n, np.maximum(1, np.ceil(m[hot:] / share))).astype(int)
+    loads = np.repeat(m[hot:] / pieces + 1, pieces)
+    others = max(0.0, s_rows - m.sum()) + max(0, r_rows - len(m))
+    if not len(loads) or n < 2:
+        return Layout((tuple(range(n)),) * hot + ((0,),) * (len(m) - hot), hot, 0, n, share)
+    low, high = max(loads.max(), (loads.sum() + others) / n), loads.sum() + others + 1
+    fits = lambda most: bool(cut(loads, most, n - max(1, int(np.ceil(others / most - 1e-9)))))
+    if not fits(low):
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (low, middle) if fits(middle) else (middle, high)
+        low = high
+    cuts = cut(loads, low, n - 1)
+    of = np.searchsorted(cuts, np.arange(len(loads)), "right") - 1
+    ends = np.cumsum(pieces)
+    parts = tuple(tuple(of[end - size : end].tolist()) for end, size in zip(ends.tolist(), pieces.tolist(), strict=True))
+    return Layout((tuple(range(n)),) * hot + parts, hot, len(cuts), n - len(cuts), low + m[:hot].sum() / n)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +13,17 @@ from .catalog import load
 from .functions.hashes import partition_id, rounded_partition_id
 from .operators import joins, selection, statistics, workload
 from .plans import tpch
-from .plans.cost import Budget
+from .session import fresh_path
+from .sources.delimited import export_joined, read_delimited
+from .sources.schema import parse
 from .streaming.refresh import refreshed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: A budget that is small against the fixtures, so that layouts have several partitions: 64 pages of 4 KiB, rows of 170 and 232 bytes.
-SMALL = Budget(pages=64, r_bytes=170, s_bytes=232)
+#: Room for R that is small against the tables, so that only a part of it is kept at hand.
+SMALL = 1 << 18
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -67,7 +71,7 @@ def result(df: DataFrame) -> DataFrame:
 
 
 def _join(strategy: str, s: Query) -> Query:
-    return lambda spark, d: result(joins.join_pkfk(orders(spark, d), s(spark, d), "o_orderkey", "l_orderkey", strategy, SMALL, k=2000))
+    return lambda spark, d: result(joins.join_pkfk(orders(spark, d), s(spark, d), "o_orderkey", "l_orderkey", strategy, 2000, SMALL))
 
 
 for _strategy in joins.STRATEGIES:
@@ -78,7 +82,7 @@ for _strategy in joins.STRATEGIES:
 @query("join_nbj_chunks", JOIN_SQL)
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = orders(spark, d)
-    return result(joins.nested_blocks(r, lines(spark, d), "o_orderkey", "l_orderkey", max(1, r.count() // 4 + 1)))
+    return result(joins.nested_blocks(r, lines(spark, d), "o_orderkey", "l_orderkey", joins.measured(r)[1] // 4 + 1))
 
 
 @query("join_hotcold", HOT_JOIN_SQL)
@@ -95,13 +99,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_fk_gap", JOIN_SQL + " WHERE o_orderkey % 5 <> 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return result(joins.join_pkfk(orders(spark, d).where("o_orderkey % 5 <> 0"), lines(spark, d), "o_orderkey", "l_orderkey", "nocap_hybrid", SMALL, k=2000))
+    return result(joins.join_pkfk(orders(spark, d).where("o_orderkey % 5 <> 0"), lines(spark, d), "o_orderkey", "l_orderkey", "correlated_hybrid", 2000))
 
 
 @query("join_part", "SELECT p_partkey AS key, p_brand AS brand, l_quantity AS qty FROM part JOIN lineitem ON p_partkey = l_partkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r, s = load(spark, d, "part"), load(spark, d, "lineitem")
-    out = joins.join_pkfk(r.select("p_partkey", "p_brand"), s.select("l_partkey", "l_quantity"), "p_partkey", "l_partkey", "dhh_skew", SMALL)
+    out = joins.join_pkfk(r.select("p_partkey", "p_brand"), s.select("l_partkey", "l_quantity"), "p_partkey", "l_partkey", "dhh_skew", room=SMALL)
     return out.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand"), F.col("l_quantity").alias("qty"))
 
 
@@ -129,6 +133,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return joins.join_pkfk(orders(spark, d), lines(spark, d), "o_orderkey", "l_orderkey", "ghj").agg(F.count("*").alias("n"))
 
 
+_REPORTED = ("smj", "ghj", "dhh", "correlated_hybrid")
+
+
+@query(
+    "join_report",
+    f"SELECT strategy, (SELECT count(*) FROM orders) AS r_rows, (SELECT count(*) FROM lineitem) AS s_rows, (SELECT count(*) FROM ({HOT_JOIN_SQL})) AS rows "
+    f"FROM (VALUES {', '.join(f"('{x}')" for x in _REPORTED)}) AS t(strategy)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r, s = orders(spark, d), hot_lines(spark, d)
+    sink = lambda df: df.write.format("noop").mode("overwrite").save()
+    reports = [joins.reported(r, s, "o_orderkey", "l_orderkey", x, sink, k=2000, room=SMALL) for x in _REPORTED]
+    return spark.createDataFrame([(x.strategy, x.r_rows, x.s_rows, x.rows) for x in reports], "strategy string, r_rows long, s_rows long, rows long")
+
+
+@query("joined_export", "SELECT l_orderkey, l_quantity AS qty, o_orderpriority AS prio FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Joined records as delimited text, and read back."""
+    r, s = parse("2 0\no_orderkey 1 8\nprio 4 16"), parse("2 0\nl_orderkey 1 8\nqty 3 8")
+    path = fresh_path(spark, "joined")
+    export_joined(joins.join_pkfk(orders(spark, d), lines(spark, d), "o_orderkey", "l_orderkey"), r, s, path)
+    return read_delimited(spark, path, s.joined(r))
+
+
 # Statistics.
 
 CT_SQL = "SELECT o_orderkey AS key, count(l_orderkey) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"
@@ -224,16 +252,30 @@ def _drawn_ct(dist: str, **shape: float) -> Query:
 
 
 _N = "(SELECT count(*) FROM part)"
+
+
+def _within_sql(u: str) -> str:
+    """A normal deviate between -2 and 2 below which lies a part u of those between them, as workload draws it."""
+    low = NormalDist().cdf(-2)
+    poly = lambda x, f: reduce(lambda out, y: f"({out} * {x} + ({y!r}))", f[1:], f"({f[0]!r})")
+    p = f"({low!r} + ({u} + {2.0**-33!r}) * {1 - 2 * low!r})"
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    near = f"({q} * {poly(f'({q} * {q})', workload.NEAR[0])} / {poly(f'({q} * {q})', workload.NEAR[1])})"
+    far = f"({poly(t, workload.FAR[0])} / {poly(t, workload.FAR[1])})"
+    return f"(CASE WHEN least({p}, 1 - {p}) >= {workload.TAIL!r} THEN {near} WHEN {q} < 0 THEN {far} ELSE -{far} END)"
+
+
 _DRAWN = {
     "uniform_ct": (_drawn_ct("uniform"), f"{uniform_sql(_ROW)} * {_N}"),
     "zipf_ct": (_drawn_ct("zipf", alpha=1.0), f"exp({uniform_sql(_ROW)} * ln({_N} + 1)) - 1"),
     "beta_ct": (_drawn_ct("beta", alpha=2.0, beta=2.0), f"pow(1 - pow(1 - {uniform_sql(_ROW)}, 0.5), 0.5) * {_N}"),
-    "normal_ct": (_drawn_ct("normal"), None),
+    "normal_ct": (_drawn_ct("normal"), f"greatest({_N} / 2.0 + {_within_sql(uniform_sql(_ROW))} * {_N} / 4.0, 0)"),
 }
 for _name, (_q, _x) in _DRAWN.items():
     query(_name, f"SELECT least(cast(floor({_x}) AS bigint), {_N} - 1) AS key, count(*) AS m FROM lineitem GROUP BY 1" if _x else None)(_q)
 
-query("noisy_ct")(lambda s, d: workload.noisy(ct(s, d), 0.08))
+_NOISE = f"sqrt(-2 * ln(1 - {uniform_sql('key')})) * cos(2 * 3.141592653589793::double * {uniform_sql('key', 1)})"
+query("noisy_ct", f"WITH ct AS ({CT_SQL}) SELECT key, cast(greatest(0, round(m + {_NOISE} * 0.08 * (SELECT avg(m) FROM ct))) AS bigint) AS m FROM ct")(lambda s, d: workload.noisy(ct(s, d), 0.08))
 query("scattered_keys", "SELECT o_orderkey, cast((cast(o_orderkey AS hugeint) * 1000003 + 7) % (SELECT count(*) FROM orders) AS bigint) AS scattered, cast(floor(o_orderkey / 8) * 32 + o_orderkey % 8 AS bigint) AS sparse FROM orders")(
     lambda s, d: load(s, d, "orders").select("o_orderkey", workload.scattered(F.col("o_orderkey"), load(s, d, "orders").count(), shift=7).alias("scattered"), workload.sparse(F.col("o_orderkey")).alias("sparse"))
 )

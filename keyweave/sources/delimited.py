@@ -21,6 +21,16 @@ def write_delimited(df: DataFrame, path: str, sep: str = "|") -> None:
     df.write.csv(path, sep=sep, quote='"', escape="\\", nullValue="")
 
 
+def export_joined(df: DataFrame, r: Layout, s: Layout, path: str, sep: str = "|") -> None:
+    """Joined records as delimited text: the attributes of S, then those of R without its key."""
+    write_delimited(df.select(*(a.name for a in s.joined(r).attributes)), path, sep)
+
+
+def write_flat(df: DataFrame, path: str, sep: str = "|") -> None:
+    """Lines in which the separator follows every field, the last one too; null is an empty field."""
+    df.select(F.concat(*(x for c in df.columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(sep))))).write.text(path)
+
+
 def write_correlation(ct: DataFrame, path: str) -> None:
     """(key, m) as lines `key m`, the most frequent first."""
     ct.orderBy(F.desc("m"), "key").select(F.concat_ws(" ", F.col("key").cast("string"), F.col("m").cast("string"))).write.text(path)

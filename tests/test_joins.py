@@ -2,10 +2,10 @@ import pytest
 from keyweave.operators import joins
 from keyweave.operators.statistics import correlation_table, top_keys
 from keyweave.operators.workload import hot_rekeyed, pair
-from keyweave.plans.cost import Budget
 from pyspark.sql import functions as F
 
-TINY = Budget(pages=8, r_bytes=100, s_bytes=100)
+#: Bytes of R that are kept at hand.
+TINY = 20_000
 
 
 def same(a, b):
@@ -26,7 +26,7 @@ def test_strategies_agree(spark, strategy):
     r, s = relations(spark, 3000, 9000)
     s = s.where("f % 7 <> 0").unionByName(spark.createDataFrame([(None, "x"), (10**9, "y")], "f bigint, b string"))
     r = r.unionByName(spark.createDataFrame([(None, "n")], "k bigint, a string"))
-    found = joins.join_pkfk(r, s, "k", "f", strategy, TINY, k=500, check_unique=True)
+    found = joins.join_pkfk(r, s, "k", "f", strategy, 500, TINY, check_unique=True)
     assert same(picked(found), picked(joins.plain(r, s, "k", "f")))
 
 
@@ -34,14 +34,14 @@ def test_strategies_agree(spark, strategy):
 @pytest.mark.parametrize("r_rows,s_rows", [(0, 5), (5, 0), (1, 40)])
 def test_small_inputs(spark, strategy, r_rows, s_rows):
     r, s = relations(spark, max(1, r_rows), max(1, s_rows), "uniform")
-    found = joins.join_pkfk(r.limit(r_rows), s.limit(s_rows), "k", "f", strategy, TINY)
+    found = joins.join_pkfk(r.limit(r_rows), s.limit(s_rows), "k", "f", strategy, room=TINY)
     assert found.count() == (s_rows if r_rows else 0)
 
 
 def test_one_hot_key(spark):
     r, s = relations(spark, 100, 5000, "uniform")
     s = hot_rekeyed(s, "f", F.col("b"), 1.0, 1)
-    assert joins.join_pkfk(r, s, "k", "f", "nocap_hybrid", TINY).count() == 5000
+    assert joins.join_pkfk(r, s, "k", "f", "correlated_hybrid").count() == 5000
 
 
 def test_repeated_key_is_refused(spark):
@@ -74,5 +74,26 @@ def test_physical_joins(spark):
 
 def test_chunks_fall_back_to_hashing(spark):
     r, s = relations(spark, 1000, 3000)
-    assert "Union" not in plan_of(joins.nested_blocks(r, s, "k", "f", 10))
-    assert plan_of(joins.nested_blocks(r, s, "k", "f", 400)).count("BroadcastHashJoin") == 3
+    held = joins.measured(r)[1]
+    assert "Union" not in plan_of(joins.nested_blocks(r, s, "k", "f", held // 100))
+    assert plan_of(joins.nested_blocks(r, s, "k", "f", held // 3 + 1)).count("BroadcastHashJoin") == 3
+
+
+def test_what_was_done(spark):
+    r, s = relations(spark, 3000, 9000)
+    s = hot_rekeyed(s, "f", F.col("b"), 0.9, 2)
+    of = lambda x, **o: joins.reported(r, s, "k", "f", x, lambda df: df.write.format("noop").mode("overwrite").save(), **o)
+    assert {of(x).rows for x in joins.STRATEGIES} == {9000}
+    assert "2 hot keys in every partition" in of("correlated_hybrid").how
+    assert "hot keys broadcast" in of("dhh_skew").how and "R broadcast in 1 chunks" in of("auto").how
+    assert "parts of R broadcast" in of("dhh", room=TINY).how and of("dhh", room=0).how == "both sides hashed"
+    report = of("smj")
+    assert (report.r_rows, report.s_rows, report.how) == (3000, 9000, "both sides sorted") and report.seconds > 0
+
+
+def test_no_task_gets_a_heavy_key(spark):
+    r, s = relations(spark, 3000, 60_000)
+    s = hot_rekeyed(s, "f", F.col("b"), 0.6, 2)
+    for strategy in ("correlated", "correlated_hybrid", "ocap", "ocap_hybrid"):
+        rows = [x["count"] for x in joins.join_pkfk(r, s, "k", "f", strategy).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(rows) < 3 * sorted(rows)[len(rows) // 2]
