@@ -111,10 +111,11 @@ def hybrid_hash(r: DataFrame, s: DataFrame, r_key: str, s_key: str, room: int =
 
 def frequent(s: DataFrame, s_key: str, k: int, part: float = 1.0) -> tuple[list, np.ndarray, int]:
     """(keys, rows of each, all rows) of the k most frequent keys of S, the most frequent first, in one pass over it; from a part of its rows, scaled up, if part is below 1."""
-    keys = s.select(F.col(s_key).alias("key")).where("key is not null")
+    keys = s.select(F.col(s_key).alias("key"))
+    # Before anything else, so that a key which is computed is computed for these rows only.
     keys = keys.sample(False, part, 1) if part < 1 else keys
     seen = Observation()
-    counts = keys.groupBy("key").agg(F.count("*").alias("m")).observe(seen, F.coalesce(F.sum("m"), F.lit(0)).alias("rows"))
+    counts = keys.where("key is not null").groupBy("key").agg(F.count("*").alias("m")).observe(seen, F.coalesce(F.sum("m"), F.lit(0)).alias("rows"))
     top = top_keys(counts, k).collect()
     return [x["key"] for x in top], np.array([x["m"] for x in top], float) / part, round(seen.get["rows"] / part)
 
@@ -161,7 +162,7 @@ def correlation_aware(
     choice.how = str(layout)
     known = routes(spark, keys, layout, s.schema[s_key].dataType.simpleString())
     left = built(r.where(F.col(r_key).isNotNull()), r_key, known, layout, fn)
-    right = probing(s.where(F.col(s_key).isNotNull()), s_key, known, layout, fn)
+    right = probing(s, s_key, known, layout, fn)
     return left.hint("shuffle_hash").join(right, (left["__route"] == right["__to"]) & (left[r_key] == right[s_key])).drop("__route", "__to")
 
 

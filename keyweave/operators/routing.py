@@ -26,7 +26,9 @@ def built(r: DataFrame, key: str, known: DataFrame, layout: Layout, fn: str = "x
 
 
 def probing(s: DataFrame, key: str, known: DataFrame, layout: Layout, fn: str = "xxhash64") -> DataFrame:
-    """S with `__to`: the partition of its key, or the next one of several."""
+    """S without null keys, with `__to`: the partition of its key, or the next one of several."""
     both = s.withColumn("__row", F.monotonically_increasing_id()).join(known, s[key] == known["__key"], "left")
     part = F.get("__parts", F.pmod("__row", F.size("__parts")).cast("int"))
-    return both.withColumn("__to", F.coalesce(part, _rest(key, layout, fn))).drop("__key", "__parts", "__row").repartitionById(layout.partitions, F.col("__to"))
+    # Nulls go only here, past the row number: a filter next to the scan would compute the key once more.
+    both = both.withColumn("__to", F.coalesce(part, F.when(F.col(key).isNotNull(), _rest(key, layout, fn)))).where("__to is not null")
+    return both.drop("__key", "__parts", "__row").repartitionById(layout.partitions, F.col("__to"))
