@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, shared_dir  # noqa: F401
+
 #: The separators of a word, `[^\x20\x09-\x0D]+`: exactly what bytes.split() splits on.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,25 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir or SparkContext.setCheckpointDir names it.
-
-    Where neither does, a temporary one if all of Spark is one local process, else an error.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="keyweave-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 class Stash:
     """Intermediate tables written to the shared folder: lineage ends there, and a lost executor costs only its own tasks."""
 

@@ -37,3 +37,27 @@ def test_codes_are_the_librarys(steps):
 
 def test_run_gives_the_same(spark, data, steps):
     assert corpus_pipeline.run(spark, data).exceptAll(steps[-1]).isEmpty()
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_on_awkward_documents(spark, frame, no_rows, data, name, stage):
+    """Nulls, empty, long and repeated texts, repeated rows, and columns with the names that operators use."""
+    df = frame.withColumns({c: frame["n"] for c in ("__removed", "__lines", "gone", "copy", "row", "words", "fp")})
+    out = stage(spark, df, data)
+    rows = out.collect()
+    if name == "bpe_encoding":
+        assert len(rows) == frame.count()
+    else:
+        assert out.columns == df.columns and {r.doc_id for r in rows} <= {r.doc_id for r in frame.collect()} and rows
+        assert all(r["__removed"] == 2 and r.h == 4 for r in rows)
+    assert stage(spark, df.limit(0), data).count() == 0
+
+
+def test_ties_and_repeated_rows(spark, data):
+    text = " ".join(f"word{i} and more of it" for i in range(30))
+    docs = spark.createDataFrame([(2, text), (1, text), (1, text), (None, text), (3, None)], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "length(text) n_chars")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, data).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept if r.doc_id is not None) == [(False, 1), (False, 1), (False, 3)] and sum(r.doc_id is None for r in kept) == 1
+    lines = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, data).collect()
+    # A null id comes first and keeps the passage; what consisted of it alone goes. Null text stays.
+    assert sorted(r.doc_id or 0 for r in lines) == [0, 3]
