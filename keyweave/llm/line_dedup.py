@@ -132,7 +132,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("id").alias(key), F.col("copy").alias(copy)).agg(F.collect_list(F.sequence("first", "last")).alias(gone))
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), copy: F.xxhash64(F.coalesce(text, F.lit("")))})
-    both = keyed.join(found, [key, copy], "left").withColumn(removed, F.array_sort(F.array_distinct(F.flatten(gone))))
+    # Shuffled at every size: the documents with repeats grow with the corpus.
+    both = keyed.join(found.hint("shuffle_hash"), [key, copy], "left").withColumn(removed, F.array_sort(F.array_distinct(F.flatten(gone))))
     lines = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     kept = F.when(F.col(removed).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
