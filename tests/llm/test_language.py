@@ -65,3 +65,43 @@ def test_awkward_texts(frame, no_rows, documents):
     assert predict(no_rows, known).count() == 0
     nothing = train(no_rows)
     assert {r.lang_pred for r in predict(frame, nothing).collect()} == {UNKNOWN}
+
+
+def plain_mixture(logs, s):
+    """One text at a time: the likeliest language, then others while the likelihood, less the price of each, rises."""
+    n, kinds = logs.shape
+    above = logs - logs.max(axis=1, keepdims=True)
+    likely = np.exp(np.maximum(above, -30))
+
+    def fitted(allowed):
+        share = np.array([1 / len(allowed) if i in allowed else 0.0 for i in range(kinds)])
+        for _ in range(s.rounds):
+            share = np.mean([w * share / (w * share).sum() for w in likely], axis=0)
+        return share, sum(np.log((w * share).sum()) for w in likely)
+
+    top = int(above.sum(axis=0).argmax())
+    share, reached = np.eye(kinds)[top], above.sum(axis=0)[top]
+    price = s.cost_log * np.log(n) + s.cost_share * n
+    if reached < -price:
+        every = fitted(range(kinds))[0]
+        order = [top] + sorted((i for i in range(kinds) if i != top), key=lambda i: (-every[i], i))
+        for k in range(2, kinds + 1):
+            more, fit = fitted(order[:k])
+            if fit <= reached + price:
+                break
+            share, reached = more, fit
+    return share
+
+
+def test_three_languages_and_the_price():
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(language_id.BUCKETS) * 0.05, 3).T + 1e-9).astype(np.float32)
+    rng = random.Random(5)
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), rng.randint(1, 25)).encode() for _ in range(40)]
+    sizes = set()
+    for settings in (Settings(), Settings(rounds=20, cost_log=0.1, cost_share=0.0), Settings(rounds=20, cost_log=5.0, cost_share=0.5)):
+        found = mixtures(texts, Languages(["a", "b", "c"], logs), settings)
+        for text, row in zip(texts, found, strict=True):
+            want = plain_mixture(word_logs([text], logs)[0].astype(float), settings)
+            assert np.allclose(row, want, atol=1e-3)
+            sizes.add(int((want > 0).sum()))
+    assert sizes == {1, 2, 3}
