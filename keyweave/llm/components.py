@@ -19,7 +19,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     stash = Stash(spark)
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.where("u <> v").select(F.explode(ways).alias("way")).select("way.u", "way.v").distinct()
     both = stash.keep(both, "links")
     labels = stash.keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")), "labels")
     for _ in range(rounds):

@@ -82,6 +82,9 @@ def near_links(distinct: DataFrame) -> DataFrame:
         count, step = F.call_function("shiftrightunsigned", own, 4 * i).bitwiseAND(F.lit(15)), F.call_function("shiftleft", one, 4 * i)
         return F.array(F.when(count < 4, own + step), F.when(count > 0, own - step))
 
+    # Fingerprints are small and their cells many, so tasks sized by what they read would be too few.
+    spark = distinct.sparkSession
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
     around = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), beside)))
     cells = distinct.select("fp", F.explode(F.concat(F.array(own), around)).alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
