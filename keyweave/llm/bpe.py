@@ -8,8 +8,10 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ FIRST_NEWER = "\u0558"
 #: Symbols of a pre-token from which its halves are encoded on their own, and of the leaves that the halving ends at.
 LONG = 4096
 LEAF = 1024
+#: Bytes of a text from which its halves are encoded on their own, and characters of the leaves that the halving ends at.
+LONG_TEXT = 16_384
+LEAF_TEXT = 8_192
 #: Pre-tokens whose encoding a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 600_000
 
@@ -141,11 +146,66 @@ def join(left: list[int], right: list[int], merges: dict, parts: dict[int, list[
 
 
 def join_all(pieces: list[list[int]], merges: dict, parts: dict[int, list[int]]) -> list[int]:
+    """The encoding of the symbols of one pre-token from those of its leaves."""
+    return join_tree(pieces, lambda a, b: join(a, b, merges, parts)) if pieces else []
+
+
+@dataclass
+class Stretch:
+    """A text in normal form with its encoding: where each pre-token begins and ends, how many ids it has, and the ids."""
+
+    text: str
+    begin: np.ndarray
+    end: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    def part(self, first: int, last: int) -> Stretch:
+        """The pre-tokens from first to last - 1, with the places they have in the whole text."""
+        skip, have = int(self.counts[:first].sum()), int(self.counts[first:last].sum())
+        return Stretch(self.text, self.begin[first:last], self.end[first:last], self.counts[first:last], self.ids[skip : skip + have])
+
+    def same(self, at: int, other: Stretch, there: int, shift: int) -> bool:
+        """Whether a pre-token is the same as one of a stretch that begins `shift` characters further on."""
+        a, b = self.part(at, at + 1), other.part(there, there + 1)
+        return a.begin[0] == b.begin[0] + shift and a.end[0] == b.end[0] + shift and np.array_equal(a.ids, b.ids)
+
+
+def join_texts(left: Stretch, right: Stretch, encode: Callable[[str], Stretch], window: int = 4) -> Stretch:
+    """The encoding of two adjacent pieces of a text from their own encodings.
+
+    The text from the last pre-tokens of the left to the first of the right is encoded
+    anew. Once the outcome begins with the same pre-token and ids as the left part of
+    the window and ends with the same as the right part, all that lies outside is right
+    as well: what a pre-token is depends on the text that follows where it begins, and
+    the cut lies several pre-tokens beyond the first one. Until then the window
+    doubles, at most to both pieces.
+    """
+    while True:
+        i, j = max(0, len(left.begin) - window), min(window, len(right.begin))
+        all_left, all_right = i == 0, j == len(right.begin)
+        start, stop = 0 if all_left else int(left.begin[i]), len(right.text) if all_right else int(right.end[j - 1])
+        middle = encode(left.text[start:] + right.text[:stop])
+        offset = len(left.text) - start  # where the right piece begins in the window
+        if (all_left or left.same(i, middle, 0, start)) and (all_right or right.same(j - 1, middle, len(middle.begin) - 1, -offset)):
+            break
+        window *= 2
+    a, b = left.part(0, i), right.part(j, len(right.begin))
+    return Stretch(
+        left.text + right.text,
+        np.concatenate((a.begin, middle.begin + start, b.begin + len(left.text))),
+        np.concatenate((a.end, middle.end + start, b.end + len(left.text))),
+        np.concatenate((a.counts, middle.counts, b.counts)),
+        np.concatenate((a.ids, middle.ids, b.ids)),
+    )
+
+
+def join_tree(pieces: list, join_two: Callable):
     """Concatenate neighbours pairwise, level by level, up to the root of the tree."""
     while len(pieces) > 1:
-        paired = [join(a, b, merges, parts) for a, b in zip(pieces[::2], pieces[1::2])]
+        paired = [join_two(a, b) for a, b in zip(pieces[::2], pieces[1::2])]
         pieces = paired + pieces[len(paired) * 2 :]
-    return pieces[0] if pieces else []
+    return pieces[0]
 
 
 class Encoder:
@@ -155,8 +215,7 @@ class Encoder:
         v = self.vocabulary = vocabulary
         self.merges, self.inner, self.last = v.merges, *v.symbols
         self.shown = {i: t.encode() for i, t in v.tokens.items()}
-        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
-        self.find_older = regex.compile(older_pattern()).findall
+        self.pattern, self.ascii_pattern, self.older_pattern = regex.compile(PATTERN), re.compile(ASCII_PATTERN), regex.compile(older_pattern())
         self.split_special = re.compile("(" + "|".join(map(re.escape, v.special)) + ")").split if v.special else None
         self.known: dict[str, bytes] = {}
 
@@ -176,20 +235,22 @@ class Encoder:
             out[token] = symbols
         return out
 
-    def pretokens(self, text: bytes) -> list[str]:
-        """The pre-tokens of a text in normal form; the special tokens in it stand as they are."""
+    def pieces(self, text: bytes) -> list[str]:
+        """A text in normal form, and in every second place the special tokens that it holds, as they stand."""
         plain = text.decode("utf-8", "replace")
         if self.split_special and any(t in plain for t in self.vocabulary.special):
-            pieces = self.split_special(plain)
-            return [t for i, piece in enumerate(pieces) for t in ([piece] if i % 2 else self._found(piece))]
-        return self._found(plain)
+            return [piece if i % 2 else normal(piece) for i, piece in enumerate(self.split_special(plain))]
+        return [normal(plain)]
+
+    def matcher(self, plain: str):
+        """The pattern that finds the pre-tokens of a text in normal form."""
+        if plain.isascii():
+            return self.ascii_pattern
+        return self.pattern if max(plain) < FIRST_NEWER else self.older_pattern
 
-    def _found(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.find_ascii(text.lower())
-        # A capital sigma is lowered as within a word wherever it stands.
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.find(plain) if max(plain) < FIRST_NEWER else self.find_older(plain)
+    def pretokens(self, text: bytes) -> list[str]:
+        """The pre-tokens of a text in normal form; the special tokens in it stand as they are."""
+        return [t for i, piece in enumerate(self.pieces(text)) for t in ([piece] if i % 2 else self.matcher(piece).findall(piece))]
 
     def symbols(self, pretoken: str) -> list[int]:
         raw = pretoken.encode()
@@ -207,20 +268,63 @@ class Encoder:
         special = self.vocabulary.special.get(token)
         return pack([special] if special is not None else self.encode_unit(self.symbols(token)))
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids of a text, as token() has them."""
-        tokens = self.pretokens(text)
+    def codes(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for t in {*tokens}.difference(self.known):
             self.known[t] = self.token(t)
-        return b"".join(map(self.known.__getitem__, tokens))
+        return list(map(self.known.__getitem__, tokens))
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text, as token() has them."""
+        return b"".join(self.codes(self.pretokens(text)))
+
+    def stretch(self, plain: str) -> Stretch:
+        """A text in normal form without special tokens, and its encoding."""
+        found = list(self.matcher(plain).finditer(plain))
+        codes = self.codes([m.group() for m in found])
+        places = np.array([m.span() for m in found], np.int64).reshape(-1, 2)
+        return Stretch(plain, places[:, 0], places[:, 1], np.array([len(c) // 4 for c in codes], np.int64), np.frombuffer(b"".join(codes), "<u4"))
+
+    def units(self, text: bytes) -> Iterator[tuple[str, list]]:
+        """What a text is put together from, in order, each cut into leaves.
+
+        ("special", [token]); ("text", leaves of a text in normal form); ("word", leaves
+        of symbols of one pre-token that has LONG of them or more).
+        """
+        for i, piece in enumerate(self.pieces(text)):
+            if i % 2:
+                yield "special", [piece]
+                continue
+            at = 0
+            for m in self.matcher(piece).finditer(piece) if UNSPLIT.search(piece) else ():
+                if 4 * (m.end() - m.start()) < LONG or len(symbols := self.symbols(m.group())) < LONG:
+                    continue
+                if m.start() > at:
+                    yield "text", [piece[k : min(k + LEAF_TEXT, m.start())] for k in range(at, m.start(), LEAF_TEXT)]
+                yield "word", [symbols[k : k + LEAF] for k in range(0, len(symbols), LEAF)]
+                at = m.end()
+            if at < len(piece):
+                yield "text", [piece[k : k + LEAF_TEXT] for k in range(at, len(piece), LEAF_TEXT)]
 
     def decode(self, ids: bytes) -> bytes:
         """Without a decoder in the vocabulary file, a text decodes to its tokens joined by blanks."""
         return b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: A stretch that may hold a pre-token of LONG symbols.
+UNSPLIT = regex.compile(rf"[^\p{{White_Space}}]{{{LONG // 4}}}")
+
+
+def normal(text: str) -> str:
+    """A text as the vocabulary's normal form has it, but for its blanks, which belong to no pre-token."""
+    if text.isascii():
+        return text.lower()
+    # A capital sigma is lowered as within a word wherever it stands.
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -244,6 +348,11 @@ def _encoder(v: Vocabulary) -> Encoder:
 
 
 CODES = "ids binary, decoded binary"
+#: The leaves of long texts, and the same with their ids and, of a text, where its pre-tokens begin and end and how many ids each has.
+PIECES = "key long, id long, unit long, leaf long, kind string, text string, symbols array<int>"
+CODED = "key long, id long, unit long, leaf long, kind string, text string, ids binary, places binary"
+#: Leaves that are handed on at a time.
+LEAVES = 256
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digest: bool = False) -> DataFrame:
@@ -251,16 +360,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     digest: (id, n_tokens, ids_sha256, decoded_sha256) instead, lower-case hex.
     Null counts as an empty text, which has no tokens. Repeated rows are encoded alike;
-    an empty table gives no rows. A text with a pre-token of LONG symbols or more is
-    set apart: the leaves of its halving become rows of their own, encoded wherever
-    there is room, and are joined again per text.
+    an empty table gives no rows. A text of LONG_TEXT bytes or more, or one that may
+    have a pre-token of LONG symbols, is set apart: the leaves of its halving become
+    rows of their own, encoded wherever there is room, and are joined again per text,
+    windows of pre-tokens around each cut of the text and of tokens around each cut within a long pre-token.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(path or read_vocabulary(), encoding="utf-8") as f:
         known = spark.sparkContext.broadcast(Vocabulary(f.read()))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    unsplit = F.coalesce((F.octet_length("text") >= LONG) & F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{LONG // 4},}}+"), F.lit(False))
+    size = F.octet_length("text")
+    large = F.coalesce((size >= LONG_TEXT) | (size >= LONG) & F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{LONG // 4},}}+"), F.lit(False))
     out = "id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else CODES)
 
     def row(e: Encoder, ids: list[int], codes: list[bytes]) -> pa.RecordBatch:
@@ -275,46 +386,58 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             yield row(e, batch.column(0).to_pylist(), [e.encode(t) for t in as_bytes(batch.column(1))])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, id, unit, leaf, symbols, done) of each text: done has ids already; the leaves of a unit share its number."""
+        """A row for each leaf of each unit of a text; one of kind "none" for a text that has no unit."""
         for batch in batches:
             e = _encoder(known.value)
             for key, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                rows, ready, unit = [], [], 0
-                for token in e.pretokens(text):
-                    symbols = [] if token in e.vocabulary.special or 4 * len(token) < LONG else e.symbols(token)
-                    if len(symbols) < LONG:
-                        ready += np.frombuffer(e.token(token), "<u4").tolist()
-                    else:
-                        rows.append((unit, 0, ready, True))
-                        rows += [(unit + 1, k, symbols[k * LEAF : (k + 1) * LEAF], False) for k in range(-(-len(symbols) // LEAF))]
-                        ready, unit = [], unit + 2
-                rows.append((unit, 0, ready, True))
-                for at in range(0, len(rows), 1024):
-                    part = rows[at : at + 1024]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(part), pa.int64()), pa.array([i] * len(part), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.list_(pa.int32())), pa.array([r[3] for r in part], pa.bool_())],
-                        ["key", "id", "unit", "leaf", "symbols", "done"],
-                    )
+                rows = ((unit, k, kind, leaf) for unit, (kind, pieces) in enumerate(e.units(text)) for k, leaf in enumerate(pieces))
+                while part := list(islice(rows, LEAVES)):
+                    yield leaf_rows(key, i, part)
+                yield leaf_rows(key, i, [(-1, 0, "none", None)])
+
+    def leaf_rows(key: int, i: int, part: list[tuple]) -> pa.RecordBatch:
+        unit, leaf, kind, held = zip(*part)
+        texts, symbols = [x if isinstance(x, str) else None for x in held], [x if isinstance(x, list) else None for x in held]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        columns = ([key] * len(part), [i] * len(part), unit, leaf, kind, texts, symbols)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in PIECES.split(", ")])
 
     def encode_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _encoder(known.value)
-            ids = [s if d else merge(s, e.merges) for s, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))], ["key", "id", "unit", "leaf", "ids"])
+            ids, places = [], []
+            for kind, text, symbols in zip(*(batch.column(c).to_pylist() for c in ("kind", "text", "symbols")), strict=True):
+                place = b""
+                if kind == "text":
+                    found = e.stretch(text)
+                    code, place = found.ids.tobytes(), np.stack((found.begin, found.end, found.counts)).astype("<u4").tobytes()
+                elif kind == "word":
+                    code = pack(merge(symbols, e.merges))
+                else:
+                    code = e.token(text) if kind == "special" else b""
+                ids.append(code)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(ids, pa.binary()), pa.array(places, pa.binary())], [x.split()[0] for x in CODED.split(", ")])
 
     def joined(found: pa.Table) -> pa.Table:
         e = _encoder(known.value)
         found = found.sort_by([("unit", "ascending"), ("leaf", "ascending")])
-        units: dict[int, list[list[int]]] = {}
-        for unit, ids in zip(found["unit"].to_pylist(), found["ids"].to_pylist(), strict=True):
-            units.setdefault(unit, []).append(ids)
-        ids = [t for pieces in units.values() for t in join_all(pieces, e.merges, e.parts)]
-        return pa.Table.from_batches([row(e, [found["id"][0].as_py()], [pack(ids)])])
-
-    short = picked.where(~unsplit).mapInArrow(whole, out)
-    apart = picked.where(unsplit).select(F.monotonically_increasing_id().alias("key"), "id", "text")
-    pieces = apart.mapInArrow(leaves, "key long, id long, unit long, leaf long, symbols array<int>, done boolean")
-    coded = pieces.repartition("key", "unit", "leaf").mapInArrow(encode_leaf, "key long, id long, unit long, leaf long, ids array<int>")
+        units: dict[int, tuple[str, list]] = {}
+        for unit, kind, text, ids, places in zip(*(found[c].to_pylist() for c in ("unit", "kind", "text", "ids", "places")), strict=True):
+            code = np.frombuffer(ids, "<u4")
+            piece = Stretch(text, *np.frombuffer(places, "<u4").reshape(3, -1).astype(np.int64), code) if kind == "text" else code.tolist() if kind == "word" else ids
+            units.setdefault(unit, (kind, []))[1].append(piece)
+        codes = []
+        for kind, pieces in units.values():
+            if kind == "text":
+                codes.append(join_tree(pieces, lambda a, b: join_texts(a, b, e.stretch)).ids.tobytes())
+            else:
+                codes.append(pack(join_all(pieces, e.merges, e.parts)) if kind == "word" else pieces[0])
+        return pa.Table.from_batches([row(e, [found["id"][0].as_py()], [b"".join(codes)])])
+
+    short = picked.where(~large).mapInArrow(whole, out)
+    apart = picked.where(large).select(F.monotonically_increasing_id().alias("key"), "id", "text")
+    coded = apart.mapInArrow(leaves, PIECES).repartition("key", "unit", "leaf").mapInArrow(encode_leaf, CODED)
     return short.unionByName(coded.groupBy("key").applyInArrow(joined, out))
 
 

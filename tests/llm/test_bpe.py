@@ -45,6 +45,45 @@ def test_joined_halves(text, leaf):
     assert bpe.pack(bpe.join_all(pieces, ENCODER.merges, ENCODER.parts)) == expected(text)[0]
 
 
+def tree(text, leaf):
+    ids = b""
+    for i, piece in enumerate(ENCODER.pieces(text.encode())):
+        if i % 2:
+            ids += ENCODER.token(piece)
+        elif piece:
+            leaves = [ENCODER.stretch(piece[k : k + leaf]) for k in range(0, len(piece), leaf)]
+            ids += bpe.join_tree(leaves, lambda a, b: bpe.join_texts(a, b, ENCODER.stretch, 4)).ids.tobytes()
+    return ids
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(PIECES, min_size=3, max_size=80).map("".join), st.integers(1, 25))
+def test_joined_texts(text, leaf):
+    assert tree(text, leaf) == expected(text)[0]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["'", "'l", "'ll", "'r", "e", "l", "s", "'ve", "v", "-", " ", "7", "a"]), min_size=8, max_size=60).map("".join), st.integers(1, 9))
+def test_cuts_within_short_forms(text, leaf):
+    assert tree(text, leaf) == expected(text)[0]
+
+
+def test_window_grows():
+    """A cut within a run of marks, whose halves look alike on both sides."""
+    for text in ["ab " + "'" * 300 + "ll x", "-" * 500 + "'s" + "l" * 500, " " * 700 + "'ll" * 90, "''" * 100 + " " + "'d" * 100]:
+        for leaf in (1, 7, 64, 301):
+            assert tree(text, leaf) == expected(text)[0]
+
+
+def test_stretches_keep_places():
+    text = "the cat's 12 hats!! sat"
+    whole = ENCODER.stretch(text)
+    out = bpe.join_texts(ENCODER.stretch(text[:6]), ENCODER.stretch(text[6:]), ENCODER.stretch)
+    for a in ("begin", "end", "counts", "ids"):
+        assert getattr(out, a).tolist() == getattr(whole, a).tolist()
+    assert [text[a:b] for a, b in zip(out.begin, out.end)] == ["the", "cat", "'s", "1", "2", "hats", "!!", "sat"]
+
+
 def test_long_and_short_merges_agree():
     symbols = ENCODER.symbols("abracadabrathinge" * 40)
     assert bpe.pack(bpe.merge(symbols, ENCODER.merges)) == expected("abracadabrathinge" * 40)[0]
@@ -67,6 +106,14 @@ def test_unsplit_texts_are_spread_and_joined(spark):
     assert [(a, b, bytes(c), bytes(d)) for a, b, c, d in rows(bpe.encode(df))] == want
 
 
+def test_long_texts_are_cut_and_joined(spark):
+    texts = ["the cat's hat. " * 3000, ("Été ΣΑΣ ǅ 漢字 " * 900 + "<|endoftext|>") * 2 + "q" * 6000 + " end" * 3000, " " * 40_000, "\n" * 20_000 + "a", "<|endoftext|>" * 1500, "naïve—" * 4000]
+    assert all(len(t.encode()) >= bpe.LONG_TEXT for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    want = sorted((i, len(expected(t)[0]) // 4, *expected(t)) for i, t in [*enumerate(texts), (-1, texts[0])])
+    assert [(a, b, bytes(c), bytes(d)) for a, b, c, d in rows(bpe.encode(df))] == want
+
+
 def test_no_rows(no_rows):
     assert bpe.encode(no_rows).count() == 0
 
