@@ -42,7 +42,7 @@ LONG = 4096
 LEAF = 1024
 #: Bytes of a text from which its halves are encoded on their own, and characters of the leaves that the halving ends at.
 LONG_TEXT = 16_384
-LEAF_TEXT = 8_192
+LEAF_TEXT = 8_192  # below 65,536
 #: Pre-tokens whose encoding a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 600_000
 
@@ -87,6 +87,11 @@ class Vocabulary:
     def special(self) -> dict[str, int]:
         return {x["content"]: x["id"] for x in self._model["added_tokens"]}
 
+    @property
+    def width(self) -> str:
+        """The numpy type of the fewest bytes that holds every id."""
+        return "<u2" if max(self.tokens) < 1 << 16 else "<u4"
+
     @cached_property
     def symbols(self) -> tuple[list[int], list[int]]:
         """The id of each byte within a word, and at its end."""
@@ -160,6 +165,17 @@ class Stretch:
     counts: np.ndarray
     ids: np.ndarray
 
+    def places(self) -> bytes:
+        """For each pre-token the blanks before it, its length and its number of ids. A leaf has so few characters that 16 bits hold each."""
+        before = np.concatenate(([0], self.end[:-1]))[: len(self.end)]
+        return np.concatenate((self.begin - before, self.end - self.begin, self.counts)).astype("<u2").tobytes()
+
+    @staticmethod
+    def placed(text: str, places: bytes, ids: np.ndarray) -> Stretch:
+        gaps, lengths, counts = np.frombuffer(places, "<u2").reshape(3, -1).astype(np.int64)
+        end = np.cumsum(gaps + lengths)
+        return Stretch(text, end - lengths, end, counts, ids)
+
     def part(self, first: int, last: int) -> Stretch:
         """The pre-tokens from first to last - 1, with the places they have in the whole text."""
         skip, have = int(self.counts[:first].sum()), int(self.counts[first:last].sum())
@@ -385,6 +401,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             e = _encoder(known.value)
             yield row(e, batch.column(0).to_pylist(), [e.encode(t) for t in as_bytes(batch.column(1))])
 
+    # Between the leaves and their texts, ids are as wide as the vocabulary needs.
+    width = known.value.width
+
+    def narrow(ids: np.ndarray) -> bytes:
+        return ids.astype(width).tobytes()
+
+    def wide(ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, width).astype("<u4")
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each leaf of each unit of a text; one of kind "none" for a text that has no unit."""
         for batch in batches:
@@ -410,9 +435,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 place = b""
                 if kind == "text":
                     found = e.stretch(text)
-                    code, place = found.ids.tobytes(), np.stack((found.begin, found.end, found.counts)).astype("<u4").tobytes()
+                    code, place = narrow(found.ids), found.places()
                 elif kind == "word":
-                    code = pack(merge(symbols, e.merges))
+                    code = narrow(np.array(merge(symbols, e.merges)))
                 else:
                     code = e.token(text) if kind == "special" else b""
                 ids.append(code)
@@ -424,8 +449,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         found = found.sort_by([("unit", "ascending"), ("leaf", "ascending")])
         units: dict[int, tuple[str, list]] = {}
         for unit, kind, text, ids, places in zip(*(found[c].to_pylist() for c in ("unit", "kind", "text", "ids", "places")), strict=True):
-            code = np.frombuffer(ids, "<u4")
-            piece = Stretch(text, *np.frombuffer(places, "<u4").reshape(3, -1).astype(np.int64), code) if kind == "text" else code.tolist() if kind == "word" else ids
+            piece = Stretch.placed(text, places, wide(ids)) if kind == "text" else wide(ids).tolist() if kind == "word" else ids
             units.setdefault(unit, (kind, []))[1].append(piece)
         codes = []
         for kind, pieces in units.values():

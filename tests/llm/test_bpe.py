@@ -79,8 +79,9 @@ def test_stretches_keep_places():
     text = "the cat's 12 hats!! sat"
     whole = ENCODER.stretch(text)
     out = bpe.join_texts(ENCODER.stretch(text[:6]), ENCODER.stretch(text[6:]), ENCODER.stretch)
-    for a in ("begin", "end", "counts", "ids"):
-        assert getattr(out, a).tolist() == getattr(whole, a).tolist()
+    for stretch in (out, bpe.Stretch.placed(text, whole.places(), whole.ids)):
+        for a in ("begin", "end", "counts", "ids"):
+            assert getattr(stretch, a).tolist() == getattr(whole, a).tolist()
     assert [text[a:b] for a, b in zip(out.begin, out.end)] == ["the", "cat", "'s", "1", "2", "hats", "!!", "sat"]
 
 
