@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import uniform
 
-DISTRIBUTIONS = ("uniform", "normal", "beta", "zipf")
+DISTRIBUTIONS = ("uniform", "normal", "beta", "beta_order", "zipf")
 
 
 def _normal(row: Column, seed: int) -> Column:
@@ -54,7 +54,8 @@ def drawn(row: Column, keys: int, dist: str = "uniform", seed: int = 0, alpha: f
     """The key from 0 to keys - 1 to which a row refers.
 
     normal: around the middle, with a deviation of dev quarters of the keys, distributed as
-    if draws out of range were rejected. beta: by the inverse of Kumaraswamy's closed form. zipf: by the inverse of the
+    if draws out of range were rejected. beta: by the inverse of Kumaraswamy's closed form. beta_order:
+    the beta distribution itself for whole alpha and beta, as the alpha-th smallest of alpha + beta - 1 uniform numbers. zipf: by the inverse of the
     continuous distribution with density x^-alpha.
     """
     u, n = uniform(row, seed), float(keys)
@@ -64,6 +65,10 @@ def drawn(row: Column, keys: int, dist: str = "uniform", seed: int = 0, alpha: f
         x = F.greatest(n / 2 + _normal_within(u, 2 / dev if dev else inf) * (dev * n / 4), F.lit(0.0))
     elif dist == "beta":
         x = F.pow(1 - F.pow(1 - u, 1 / beta), 1 / alpha) * n
+    elif dist == "beta_order":
+        if min(alpha, beta) < 1 or alpha % 1 or beta % 1:
+            raise ValueError("beta_order takes whole numbers from 1 on")
+        x = F.array_sort(F.array(*(uniform(row, seed + i) for i in range(int(alpha + beta) - 1))))[int(alpha) - 1] * n
     elif dist == "zipf":
         if abs(alpha - 1) < 1e-9:
             x = F.exp(u * F.log(F.lit(n + 1))) - 1

@@ -9,7 +9,9 @@ takes its place and the operators stay.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from random import Random
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -235,13 +237,87 @@ REBOUND: dict[str, tuple[str, dict[str, object]]] = {
 }
 
 
+#: What the tables hold, as the draws below need it. Fixed values.
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+PRIORITIES = ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW")
+FLAGS = ("A", "N", "R")
+FIRST_WORDS = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+LAST_WORDS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
+
+
+def _month(r: Random, first: int = 1995, last: int = 2000) -> str:
+    return f"{r.randint(first, last)}-{r.randint(1, 12):02d}-01"
+
+
+def _year(r: Random, first: int = 1995, last: int = 2000) -> str:
+    return f"{r.randint(first, last)}-01-01"
+
+
+def _nations(r: Random, n: int) -> list[str]:
+    return [f"NATION_{i}" for i in r.sample(range(25), n)]
+
+
+def _brands(r: Random, n: int) -> list[str]:
+    return [f"Brand#{i}" for i in r.sample(range(1, 26), n)]
+
+
+def _discount(r: Random) -> dict[str, object]:
+    """Bounds between the hundredths, so that no discount lies on one."""
+    about = r.randint(2, 9)
+    return {"date": _year(r), "low": (10 * about - 15) / 1000, "high": (10 * about + 15) / 1000, "quantity": r.choice((24, 25))}
+
+
+def _share(r: Random) -> dict[str, object]:
+    """A nation and the region that it lies in."""
+    nation = r.randrange(25)
+    return {"nation": f"NATION_{nation}", "region": REGIONS[nation % 5], "type": r.choice(TYPES)}
+
+
+def _sizes(r: Random) -> dict[str, object]:
+    low = r.randint(1, 40)
+    return {"low": low, "high": low + 10, "type": f"%{r.choice('AEO')}%", "region": r.choice(REGIONS)}
+
+
+#: How the parameters of each query are drawn; those that aren't named keep their values.
+DRAWS: dict[str, Callable[[Random], dict[str, object]]] = {
+    "q01": lambda r: {"days": str(r.randint(60, 120))},
+    "q02": _sizes,
+    "q03": lambda r: {"segment": r.choice(SEGMENTS), "date": f"1998-03-{r.randint(1, 31):02d}"},
+    "q04": lambda r: {"date": _month(r)},
+    "q05": lambda r: {"region": r.choice(REGIONS), "date": _year(r)},
+    "q06": _discount,
+    "q07": lambda r: dict(zip(("one", "two"), _nations(r, 2), strict=True)),
+    "q08": _share,
+    "q09": lambda r: {"name": f"%{r.choice(LAST_WORDS)}%"},
+    "q10": lambda r: {"date": _month(r)},
+    "q11": lambda r: {"nation": _nations(r, 1)[0]},
+    "q12": lambda r: {**dict(zip(("one", "two"), r.sample(FLAGS, 2), strict=True)), "date": _year(r)},
+    "q13": lambda r: {"word": f"%{r.choice(PRIORITIES)}%"},
+    "q14": lambda r: {"date": _month(r)},
+    "q15": lambda r: {"date": _month(r)},
+    "q16": lambda r: {"brand": _brands(r, 1)[0], "type": f"{r.choice(TYPES)}%"},
+    "q17": lambda r: {"brand": _brands(r, 1)[0], "size": r.randint(1, 50)},
+    "q18": lambda r: {"quantity": r.randint(180, 220)},
+    "q19": lambda r: dict(zip(("one", "two", "three"), _brands(r, 3), strict=True)),
+    "q20": lambda r: {"name": f"{r.choice(FIRST_WORDS)}%", "date": _year(r), **dict(zip(("one", "two", "three"), _nations(r, 3), strict=True))},
+    "q21": lambda r: {"region": r.randrange(5)},
+}
+
+
+def drawn(name: str, seed: int) -> dict[str, object]:
+    """Parameters of a query drawn at random: the same ones for the same seed, on any machine."""
+    return DRAWS[name](Random(f"{name}:{seed}"))
+
+
 def literal(value: object) -> str:
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
     return repr(value)
 
 
-def render(name: str, **params: object) -> str:
+def render(name: str, /, **params: object) -> str:
     """A query's text with its parameters bound; the tables are left as {table}."""
     if name in REBOUND:
         name, own = REBOUND[name]
@@ -257,13 +333,13 @@ def render(name: str, **params: object) -> str:
     return re.sub(r":([a-z]+)\b", lambda m: literal(bound[m[1]]), text)
 
 
-def run(spark: SparkSession, sf_dir: str, name: str, **params: object) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, name: str, /, **params: object) -> DataFrame:
     text = render(name, **params)
     used = {t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
-def standard_sql(name: str, **params: object) -> str:
+def standard_sql(name: str, /, **params: object) -> str:
     """The text for an engine that has the tables under their own names; a variant is given in its plain form."""
     if name in VARIANTS:
         name = VARIANTS[name][0]

@@ -14,9 +14,9 @@ from .functions.hashes import partition_id, rounded_partition_id
 from .operators import joins, selection, statistics, workload
 from .plans import tpch
 from .session import fresh_path
-from .sources.delimited import export_joined, read_delimited
+from .sources.delimited import export_joined, read_delimited, read_flat, write_flat
 from .sources.schema import parse
-from .streaming.refresh import refreshed
+from .streaming.refresh import current, refreshed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,6 +157,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read_delimited(spark, path, s.joined(r))
 
 
+@query("flat_orders", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as flat files with a separator after every field, and read back."""
+    layout = parse("4 0\no_orderkey 1 8\no_custkey 1 8\no_totalprice 3 8\no_orderpriority 4 16")
+    path = fresh_path(spark, "flat")
+    write_flat(load(spark, d, "orders").select(*(a.name for a in layout.attributes)), path)
+    return read_flat(spark, path, layout)
+
+
 # Statistics.
 
 CT_SQL = "SELECT o_orderkey AS key, count(l_orderkey) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"
@@ -269,6 +278,10 @@ _DRAWN = {
     "uniform_ct": (_drawn_ct("uniform"), f"{uniform_sql(_ROW)} * {_N}"),
     "zipf_ct": (_drawn_ct("zipf", alpha=1.0), f"exp({uniform_sql(_ROW)} * ln({_N} + 1)) - 1"),
     "beta_ct": (_drawn_ct("beta", alpha=2.0, beta=2.0), f"pow(1 - pow(1 - {uniform_sql(_ROW)}, 0.5), 0.5) * {_N}"),
+    "beta_order_ct": (
+        _drawn_ct("beta_order", alpha=2.0, beta=3.0),
+        f"list_sort([{', '.join(uniform_sql(_ROW, i) for i in range(4))}])[2] * {_N}",
+    ),
     "normal_ct": (_drawn_ct("normal"), f"greatest({_N} / 2.0 + {_within_sql(uniform_sql(_ROW))} * {_N} / 4.0, 0)"),
 }
 for _name, (_q, _x) in _DRAWN.items():
@@ -292,8 +305,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return refreshed(o, "o_orderkey", new, o.where("o_orderkey % 100 = 3").select(F.col("o_orderkey").alias("key")))
 
 
+@query("refresh_changes", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 <> 1 OR o_orderkey % 4 >= 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that came in four batches, of which the third deletes some of those before it."""
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    came = o.select("*", F.lit(False).alias("deleted"), (F.col("o_orderkey") % 4).cast("int").alias("batch"))
+    gone = o.where("o_orderkey % 10 = 1").select("*", F.lit(True).alias("deleted"), F.lit(2).alias("batch"))
+    return current(came.unionByName(gone), "o_orderkey", version="batch")
+
+
 # The decision-support queries.
 
 for _q in (*tpch.QUERIES, *tpch.VARIANTS, *tpch.REBOUND):
     _name = _q if _q.startswith("jcch") else f"tpch_{_q}"
     query(_name, tpch.standard_sql(_q))(lambda s, d, q=_q: tpch.run(s, d, q))
+
+for _q in tpch.DRAWS:
+    query(f"drawn_{_q}", tpch.standard_sql(_q, **tpch.drawn(_q, 1)))(lambda s, d, q=_q: tpch.run(s, d, q, **tpch.drawn(q, 1)))

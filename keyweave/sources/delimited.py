@@ -31,6 +31,14 @@ def write_flat(df: DataFrame, path: str, sep: str = "|") -> None:
     df.select(F.concat(*(x for c in df.columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(sep))))).write.text(path)
 
 
+def read_flat(spark: SparkSession, path: str, layout: Layout, columns: list[str] | None = None, sep: str = "|") -> DataFrame:
+    """What write_flat wrote, fields in the order of `columns` (default: the layout's). Nothing is quoted, so no field may hold the separator."""
+    fields = {f.name: f for f in layout.struct}
+    named = [fields[c] for c in columns or fields]
+    read = spark.read.schema(T.StructType([*named, T.StructField("__end", T.StringType())]))
+    return read.csv(path, sep=sep, quote="", nullValue="", mode="FAILFAST").select(*fields)
+
+
 def write_correlation(ct: DataFrame, path: str) -> None:
     """(key, m) as lines `key m`, the most frequent first."""
     ct.orderBy(F.desc("m"), "key").select(F.concat_ws(" ", F.col("key").cast("string"), F.col("m").cast("string"))).write.text(path)

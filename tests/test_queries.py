@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from keyweave.plans import tpch
 from keyweave.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -43,3 +44,12 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+@pytest.mark.parametrize("name", sorted(tpch.DRAWS))
+def test_drawn_parameters(name):
+    """The same for a seed, among those that the query has, and not the same for all seeds."""
+    draws = [tpch.drawn(name, seed) for seed in range(40)]
+    assert draws == [tpch.drawn(name, seed) for seed in range(40)]
+    assert all(d.keys() <= tpch.QUERIES[name].params.keys() for d in draws)
+    assert any(d != draws[0] for d in draws)

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from keyweave.sources.delimited import read_correlation, read_delimited, write_correlation, write_delimited
+from keyweave.sources.delimited import read_correlation, read_delimited, read_flat, write_correlation, write_delimited, write_flat
 from keyweave.sources.fixedrec import FixedRecords
 from keyweave.sources.schema import parse
 
@@ -64,3 +64,13 @@ def test_correlation_file(spark, tmp_path):
     ct = spark.createDataFrame([(1, 5), (2, 9), (3, 0)], "key bigint, m bigint")
     write_correlation(ct, f"{tmp_path}/ct")
     assert rows(read_correlation(spark, f"{tmp_path}/ct")) == rows(ct)
+
+
+def test_flat_files(spark, frame, tmp_path):
+    layout, df = frame
+    df = df.where("name is null or name not like '%|%'")
+    order = ["name", "id", "small", "n", "x", "day"]
+    write_flat(df.select(*order), f"{tmp_path}/flat")
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/flat").collect())
+    assert lines == ["ab|1|0.5|-5|1.5|1996-02-29|", "|3|0.0|0|0.0|2000-01-01|"]
+    assert rows(read_flat(spark, f"{tmp_path}/flat", layout, order)) == rows(df)

@@ -1,10 +1,11 @@
 from bisect import bisect_right
+from math import comb
 from statistics import NormalDist
 
 import pytest
 from keyweave.functions.hashes import HASHES, hashed, partition_id, rounded_partition_id
 from keyweave.operators import selection, statistics, workload
-from keyweave.streaming.refresh import apply_stream, refreshed
+from keyweave.streaming.refresh import apply_stream, current, refreshed
 from pyspark.sql import functions as F
 
 
@@ -77,4 +78,41 @@ def test_refresh_stream(spark, tmp_path):
     apply_stream(stream(), "id", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     spark.createDataFrame([(1, "", True), (3, "c", False)], changes.schema).write.parquet(f"{tmp_path}/in/b=1")
     apply_stream(stream(), "id", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/v=1").collect()) == [2, 3]
+    written = spark.read.parquet(f"{tmp_path}/out")
+    assert written.where("__batch = 1").count() == 2  # the second batch wrote its own changes alone
+    assert sorted(tuple(r) for r in current(written, "id").collect()) == [(2, "b"), (3, "c")]
+    base = spark.createDataFrame([(1, "z"), (7, "y"), (None, "x")], "id bigint, v string")
+    assert sorted((r.id or 0, r.v) for r in current(written, "id", base).collect()) == [(0, "x"), (2, "b"), (3, "c"), (7, "y")]
+
+
+def test_current_is_what_refreshes_give(spark):
+    """Deleted and inserted again, deleted twice, inserted and deleted in one batch: as one refresh after the other."""
+    columns = "id bigint, w string, deleted boolean"
+    batches = [
+        [(1, "a", False), (2, "b", False), (None, "n", False)],
+        [(1, "", True), (1, "c", False), (4, "d", False)],
+        [(4, "", True), (4, "", True), (2, "", True), (None, "", True)],
+        [(2, "e", False), (1, "f", False)],
+    ]
+    state = spark.createDataFrame([(9, "base"), (1, "base")], "id bigint, w string")
+    base, log = state, None
+    for n, b in enumerate(batches):
+        change = spark.createDataFrame(b, columns)
+        state = refreshed(state, "id", change.where("not deleted").drop("deleted"), change.where("deleted").select(F.col("id").alias("key")))
+        change = change.withColumn("__batch", F.lit(n))
+        log = change if log is None else log.unionByName(change)
+    out = lambda df: sorted((r.id or 0, r.w) for r in df.collect())
+    assert out(current(log, "id", base)) == out(state)
+    assert out(current(log.limit(0), "id", base)) == out(base)
+
+
+@pytest.mark.parametrize("alpha, beta", [(1, 1), (2, 2), (2, 5), (4, 1)])
+def test_beta_keys(spark, alpha, beta):
+    n = 20000
+    keys = sorted(r[0] for r in spark.range(n).select(workload.drawn(F.col("id"), 500, "beta_order", alpha=alpha, beta=beta)).collect())
+    assert 0 <= keys[0] and keys[-1] < 500
+    of = alpha + beta - 1
+    cdf = lambda x: sum(comb(of, j) * x**j * (1 - x) ** (of - j) for j in range(alpha, of + 1))
+    assert max(abs(cdf((k + 1) / 500) - bisect_right(keys, k) / n) for k in range(500)) < 0.012
+    with pytest.raises(ValueError):
+        workload.drawn(F.col("id"), 500, "beta_order", alpha=1.5)
