@@ -18,7 +18,7 @@ from .routing import built, probing, routes
 from .statistics import top_keys
 
 STRATEGIES = ("auto", "nbj", "smj", "ghj", "dhh", "dhh_skew", "ocap", "ocap_hybrid", "correlated", "correlated_hybrid")
-#: Bytes of R that are broadcast at a time, as measured before.
+#: Bytes of R that are broadcast at a time, as measured before. Chunks of R that are broadcast in one plan count together: the driver builds and holds them all.
 CHUNK_BYTES = 64 << 20
 #: Passes over S beyond which both sides are hashed instead.
 PASSES = 4
@@ -58,10 +58,11 @@ def measured(df: DataFrame) -> tuple[int, int]:
 
 
 def nested_blocks(r: DataFrame, s: DataFrame, r_key: str, s_key: str, chunk_bytes: int = CHUNK_BYTES, choice: Choice | None = None) -> DataFrame:
-    """R in chunks of about chunk_bytes, each broadcast to one pass over S. With more than PASSES of them, both sides are hashed instead."""
+    """R in chunks of about chunk_bytes, each broadcast to one pass over S. With more than PASSES of them, or more than CHUNK_BYTES in all, both sides are hashed instead."""
     choice = choice or Choice()
-    chunks = max(1, ceil(measured(r)[1] / chunk_bytes))
-    if chunks > PASSES:
+    held = measured(r)[1]
+    chunks = max(1, ceil(held / chunk_bytes))
+    if chunks > PASSES or held > CHUNK_BYTES:
         return grace_hash(r, s, r_key, s_key, choice=choice)
     choice.how = f"R broadcast in {chunks} chunks"
     if chunks == 1:

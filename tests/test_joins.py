@@ -79,6 +79,18 @@ def test_chunks_fall_back_to_hashing(spark):
     assert plan_of(joins.nested_blocks(r, s, "k", "f", held // 3 + 1)).count("BroadcastHashJoin") == 3
 
 
+def test_chunks_count_together(spark, monkeypatch):
+    """The driver holds all chunks of a plan at once, so smaller ones don't let more of R be broadcast."""
+    r, s = relations(spark, 1000, 3000)
+    held = joins.measured(r)[1]
+    monkeypatch.setattr(joins, "CHUNK_BYTES", held)
+    assert plan_of(joins.nested_blocks(r, s, "k", "f", held // 4 + 1)).count("BroadcastHashJoin") == 4
+    monkeypatch.setattr(joins, "CHUNK_BYTES", held - 1)
+    found = joins.nested_blocks(r, s, "k", "f", held // 4 + 1)
+    assert "Broadcast" not in plan_of(found) and "ShuffledHashJoin" in plan_of(found)
+    assert same(picked(found), picked(joins.plain(r, s, "k", "f")))
+
+
 def test_what_was_done(spark):
     r, s = relations(spark, 3000, 9000)
     s = hot_rekeyed(s, "f", F.col("b"), 0.9, 2)
