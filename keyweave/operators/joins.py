@@ -30,6 +30,8 @@ SAMPLE = 1 / 16
 WORTH = 1 / 16
 #: Parts of the keys, of which as many stay at hand as there is room for.
 PARTS = 64
+#: Rows of both sides, about, that come together in a partition where `enough` tells how many there are.
+ROWS = 1 << 19
 
 
 @dataclass
@@ -83,6 +85,11 @@ def grace_hash(r: DataFrame, s: DataFrame, r_key: str, s_key: str, partitions: i
     return plain(r, s, r_key, s_key, "shuffle_hash")
 
 
+def enough(*sides: DataFrame) -> int:
+    """Partitions by key in which about ROWS rows of all sides come together, whatever number the session has and however few bytes the rows are once compressed."""
+    return max(1, ceil(sum(df.count() for df in sides) / ROWS))
+
+
 def hot_and_cold(r: DataFrame, s: DataFrame, r_key: str, s_key: str, hot: DataFrame) -> DataFrame:
     """Rows of S with a hot key (column `key`, few enough to broadcast) meet a broadcast of R's rows; the others are shuffled. No hot row is shuffled.
 

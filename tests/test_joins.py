@@ -2,6 +2,7 @@ import pytest
 from keyweave.operators import joins
 from keyweave.operators.statistics import correlation_table, top_keys
 from keyweave.operators.workload import hot_rekeyed, pair
+from keyweave.queries import QUERIES
 from pyspark.sql import functions as F
 
 #: Bytes of R that are kept at hand.
@@ -109,3 +110,11 @@ def test_no_task_gets_a_heavy_key(spark):
     for strategy in ("correlated", "correlated_hybrid", "ocap", "ocap_hybrid"):
         rows = [x["count"] for x in joins.join_pkfk(r, s, "k", "f", strategy).groupBy(F.spark_partition_id()).count().collect()]
         assert max(rows) < 3 * sorted(rows)[len(rows) // 2]
+
+
+def test_union_of_joins_gets_partitions_by_rows(spark, data, monkeypatch):
+    """No task of the united joins gets all rows because they are few bytes."""
+    monkeypatch.setattr(joins, "ROWS", 500, raising=False)
+    rows = [x["count"] for x in QUERIES["union_partitions"](spark, data).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == spark.read.parquet(f"{data}/lineitem.parquet").count() and max(rows) < 1000
+    assert joins.enough(spark.range(0)) == 1 and joins.enough(spark.range(501), spark.range(500)) == 3
