@@ -74,7 +74,8 @@ def nested_blocks(r: DataFrame, s: DataFrame, r_key: str, s_key: str, chunk_byte
 
 
 def sort_merge(r: DataFrame, s: DataFrame, r_key: str, s_key: str) -> DataFrame:
-    return plain(r, s, r_key, s_key, "merge")
+    """Both sides sorted. S comes first: Spark holds the rows of the second side that have the key at hand, one row of R, not all of S with a hot key."""
+    return s.join(r.hint("merge"), r[r_key] == s[s_key]).select(*(r[c] for c in r.columns), *(s[c] for c in s.columns))
 
 
 def grace_hash(r: DataFrame, s: DataFrame, r_key: str, s_key: str, partitions: int | None = None, choice: Choice | None = None) -> DataFrame:

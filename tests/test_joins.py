@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from keyweave.operators import joins
 from keyweave.operators.statistics import correlation_table, top_keys
@@ -118,3 +120,18 @@ def test_union_of_joins_gets_partitions_by_rows(spark, data, monkeypatch):
     rows = [x["count"] for x in QUERIES["union_partitions"](spark, data).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == spark.read.parquet(f"{data}/lineitem.parquet").count() and max(rows) < 1000
     assert joins.enough(spark.range(0)) == 1 and joins.enough(spark.range(501), spark.range(500)) == 3
+
+
+def test_report_computes_keys_once(spark, data, monkeypatch):
+    """The joins that are compared read the drawn keys; none draws them again."""
+    real, plans = joins.reported, []
+    monkeypatch.setattr(joins, "reported", lambda r, s, *a, **o: plans.append(plan_of(s)) or real(r, s, *a, **o))
+    QUERIES["join_report"](spark, data)
+    assert len(plans) == 4 and not any("md5" in x for x in plans)
+
+
+def test_sort_merge_holds_rows_of_the_unique_side(spark):
+    r, s = relations(spark, 100, 3000)
+    found = joins.join_pkfk(r, s, "k", "f", "smj")
+    assert found.columns == ["k", "a", "f", "b"] and same(found, joins.plain(r, s, "k", "f"))
+    assert re.search(r"SortMergeJoin \[f#\d+L\], \[k#\d+L\]", plan_of(found))
